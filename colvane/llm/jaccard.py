@@ -25,23 +25,26 @@ from colvane.llm.common import mixed, rebatched, small_batches, stored, texts
 from colvane.llm.graph import components
 from colvane.llm.words import shingle_sets
 
-#: Cells of the frequency sketch: one byte each when sent out, whatever the corpus.
-CELLS, PARTS = 1 << 22, 64
+#: The frequency sketch has ROWS rows of CELLS counters; as sent out it takes a byte each, whatever the corpus.
+ROWS, CELLS, PARTS = 2, 1 << 23, 64
 
 
-def cell(g: np.ndarray) -> np.ndarray:
-    return (mixed(g, 9) >> np.uint64(64 - 22)).astype(np.int64)
+def cells(g: np.ndarray) -> list[np.ndarray]:
+    """The counter of each shingle in each row."""
+    return [((mixed(g, 9 + r) >> np.uint64(64 - 23)) + np.uint64(r * CELLS)).astype(np.int64) for r in range(ROWS)]
 
 
 def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
-    """log2 of the number of documents that have a shingle of each cell. It only orders shingles, so collisions cost no result."""
+    """Eighths of log2 of the number of documents that have a shingle of each cell. They only order shingles, so collisions cost no result."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(CELLS, np.uint32)
+        seen = np.zeros(ROWS * CELLS, np.uint32)
         for t in rebatched(batches):
-            seen += np.bincount(cell(shingle_sets(texts(t), k)[0]), minlength=CELLS).astype(np.uint32)
+            for c in cells(shingle_sets(texts(t), k)[0]):
+                np.add.at(seen, c, np.uint32(1))
         for i, part in enumerate(np.split(seen, PARTS)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["part", "seen"])
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["part", "seen"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -49,11 +52,11 @@ def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
             for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 total[i] = total.get(i, 0) + np.frombuffer(zlib.decompress(raw), "<u4").astype(np.uint64)
         for i, x in total.items():
-            level = np.ceil(np.log2(x.astype(np.float64) + 1)).astype(np.uint8)
+            level = np.minimum(np.round(8 * np.log2(x.astype(np.float64) + 1)), 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["part", "level"])
 
     made = docs.select("text").mapInArrow(count, "part int, seen binary").repartitionById(PARTS, F.col("part")).mapInArrow(add, "part int, level binary").toArrow()
-    out = np.zeros((PARTS, CELLS // PARTS), np.uint8)
+    out = np.zeros((PARTS, ROWS * CELLS // PARTS), np.uint8)
     for i, raw in zip(made.column(0).to_pylist(), made.column(1).to_pylist(), strict=True):
         out[i] = np.frombuffer(raw, np.uint8)
     return out.ravel()
@@ -68,7 +71,7 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for t in rebatched(batches):
             g, offsets = shingle_sets(texts(t), k)
             own = np.repeat(np.arange(t.num_rows), np.diff(offsets))
-            ordered = g[np.lexsort((g, level[cell(g)], own))].view(np.int64)
+            ordered = g[np.lexsort((g, np.minimum.reduce([level[c] for c in cells(g)]), own))].view(np.int64)
             n, whole, same, prefix = np.diff(offsets).tolist(), [], [], []
             for a, size in zip(offsets[:-1].tolist(), n, strict=True):
                 p = ordered[a : a + (size - -(-percent * size // 100) + 1 if size else 0)]
@@ -122,20 +125,29 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, stars: in
     members = classes.join(groups.select("n", "same", "gid"), ["n", "same"]).select("id", "gid")
     postings = groups.select("gid", "n", size_class(F.col("n")).alias("s"), F.posexplode("prefix").alias("p", "token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    postings = stored(postings.join(shared, "token"), "postings")
+    postings = postings.join(shared, "token")
+    # sizes that differ by a quarter at most lie in the same class or in neighbours, which share one of these cells
+    spread = postings.select("token", "gid", F.explode(F.array("s", F.col("s") + 1)).alias("cell"))
+    met = spread.groupBy("token", "cell").agg(F.count("*").alias("c")).where("c > 1").select("token", "cell")
+    alive = spread.join(met, ["token", "cell"]).select("token", "gid").distinct()
+    postings = stored(postings.join(alive, ["token", "gid"], "left_semi"), "postings")
 
     some = postings.select("gid").distinct().join(members, "gid").select("id").union(members.where("id <> gid").select("id")).union(members.where("id <> gid").select("gid")).distinct()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for t in rebatched(batches):
             g, offsets = shingle_sets(texts(t), k)
-            made = [g[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
-            whole = [hashlib.blake2b(x, digest_size=16).digest() for x in made]
-            yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(whole, pa.binary()), pa.array(made, pa.binary())], names=["id", "whole", "set"])
+            rows = []
+            for i, (doc_id, whole) in enumerate(zip(t.column("doc_id").to_pylist(), t.column("whole").to_pylist(), strict=True)):
+                raw = g[offsets[i] : offsets[i + 1]].tobytes()
+                if doc_id != last and hashlib.blake2b(raw, digest_size=16).digest() == whole:  # another text of the same doc_id is another class
+                    rows.append((doc_id, raw))
+                    last = doc_id
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "set"])
 
-    wanted = classes.join(some, "id", "left_semi").select(F.col("id").alias("doc_id"))
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets_of, "id long, whole binary, set binary")
-    sets = stored(sets.join(classes.select("id", "whole"), ["id", "whole"], "left_semi").dropDuplicates(["id"]).select("id", "set"), "sets")
+    wanted = classes.join(some, "id", "left_semi").select(F.col("id").alias("doc_id"), "whole")
+    sets = stored(docs.join(wanted, "doc_id").select("doc_id", "text", "whole").mapInArrow(sets_of, "id long, set binary"), "sets")
 
     # members of a group against its first one: a star inside the group
     links = stored(similar(members.where("id <> gid").select(F.col("id").alias("a"), F.col("gid").alias("b")), sets, percent), "links")
@@ -179,7 +191,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, stars: in
     links = links.union(last)
     if not last.isEmpty():
         label = components(links)
-    counts = links.select("a", "b").union(links.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links"))
+    counts = links.select("a", "b").union(links.select("b", "a")).distinct().groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links"))
     done = classes.select("n", "whole", "id").join(label, "id", "left").join(counts, "id", "left").select("n", "whole", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = signed.select("doc_id", "n", "whole").join(done, ["n", "whole"], "left")
     alone = F.col("doc_id").isNull() | F.col("component").isNull()
