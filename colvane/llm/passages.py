@@ -24,6 +24,8 @@ from colvane.llm.words import gram_hashes, word_hashes
 SEED_WORDS, WINDOW = 6, 16
 #: A gap of one word on either side costs so many matched words.
 GAP_COST = 0.25
+#: Seeds a word along a chain, of 2 / (WINDOW + 1) expected in equal texts, from which it surely verifies.
+SURE_SEEDS = 0.08
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, start long, end long, n_words long, match_doc_id long, match_start long, match_end long, identity double"
 
@@ -181,8 +183,31 @@ def chained(docs: DataFrame, min_words: int) -> DataFrame:
     matches = seed.join(first, "seed").where("source <> doc_id").select("doc_id", "source", "place", "there")
     dealt = matches.repartition(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "source")
 
-    def chains_of(source: int, q: np.ndarray, c: np.ndarray) -> list[dict]:
-        return [{"source": source, "chain": [v for a in chain for v in a]} for chain in chains(anchors(q, c, SEED_WORDS)) if chain[-1][0] + chain[-1][2] - chain[0][0] + 2 * (SEED_WORDS + WINDOW) >= min_words]
+    def chains_of(source: int, q: np.ndarray, c: np.ndarray) -> list[tuple]:
+        """(span, sure, source, chain) of each chain that can reach min_words; sure if seeds match all along it."""
+        out, placed = [], np.sort(q)
+        for chain in chains(anchors(q, c, SEED_WORDS)):
+            low, high = chain[0][0], chain[-1][0] + chain[-1][2]
+            if high - low + 2 * (SEED_WORDS + WINDOW) >= min_words:
+                seen = int(np.searchsorted(placed, high) - np.searchsorted(placed, low))
+                out.append((low, high, seen >= SURE_SEEDS * (high - low), source, chain))
+        return out
+
+    def uncovered(found: list[tuple]) -> list[dict]:
+        """Drops chains that lie inside what longer, sure ones cover: one source is enough for a passage."""
+        sure = sorted((low, high) for low, high, ok, *_ in found if ok)
+        kept, cover = [], []
+        for low, high, ok, source, chain in sorted(found, key=lambda x: (x[0] - x[1], not x[2], x[3])):
+            left = low
+            for a, b in cover:
+                if a <= left < b:
+                    left = b
+            if left < high or not sure:
+                kept.append({"source": source, "chain": [v for a in chain for v in a]})
+                if ok:
+                    cover.append((low, high))
+                    cover.sort()
+        return kept
 
     kind = pa.list_(pa.struct([("source", pa.int64()), ("chain", pa.list_(pa.int64()))]))
 
@@ -200,6 +225,7 @@ def chained(docs: DataFrame, min_words: int) -> DataFrame:
                     else:
                         ids.append(int(d[a]))
                         found.append(got)
+            found = [uncovered(x) for x in found]
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, kind)], names=["doc_id", "found"])
 
         for b in batches:
@@ -221,6 +247,7 @@ def chained(docs: DataFrame, min_words: int) -> DataFrame:
 def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8) -> DataFrame:
     """Passages of at least min_words words of a document that an earlier one (smaller doc_id) has, exactly or nearly.
 
+    One source is given for a passage; a match that lies inside a longer one of the same document is left out.
     doc_id, start, end (code points), n_words, match_doc_id, match_start, match_end, identity (matched words over the
     longer side). The first document of a passage is never listed for it. Null doc_ids and null, empty or short texts
     have none; equal rows of one doc_id aren't repeats of each other (with different texts the largest is taken); an
@@ -243,7 +270,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
                     c = x["chain"]
                     low, high = max(0, c[0] - 40 - SEED_WORDS - WINDOW), min(len(w), c[-3] + c[-1] + 40 + SEED_WORDS + WINDOW)
                     if high > low:
-                        rows.append((doc_id, x["source"], c, low, w[low:high].tobytes(), spans[low:high].astype("<i8").tobytes()))
+                        rows.append((doc_id, x["source"], c, low, w[low:high].astype("<u4").tobytes(), spans[low:high].astype("<u4").tobytes()))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "source", "chain", "low", "words", "spans"])
@@ -255,8 +282,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
             for doc_id, source, chain, low, words, spans, text in zip(*(c.to_pylist() for c in t.columns), strict=True):
                 if held[0] != source:
                     text = text or ""
-                    held = source, word_hashes([text])[0], spans_of(text)
-                x, xs, y, ys = np.frombuffer(words, "<u8"), np.frombuffer(spans, "<i8").reshape(-1, 2), held[1], held[2]
+                    held = source, word_hashes([text])[0].astype("<u4"), spans_of(text)
+                x, xs, y, ys = np.frombuffer(words, "<u4"), np.frombuffer(spans, "<u4").reshape(-1, 2), held[1], held[2]
                 pieces = [(q - low, c, m) for q, c, m in zip(chain[::3], chain[1::3], chain[2::3], strict=True) if 0 <= q - low < len(x) and c < len(y)]
                 if not pieces:
                     continue
