@@ -45,48 +45,54 @@ def membership(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def subset_hashes(h: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """The hash of each subset's terms: sums of spread hashes, the same for the same distinct terms; 0 without terms."""
+    with np.errstate(over="ignore"):
+        total = mixed(inside.T.astype(np.uint64) @ mixed(h, 5), 6)
+    return np.where(inside.any(axis=0), total % np.uint64(65535) + np.uint64(1), np.uint64(0)).astype(np.uint16)
+
+
 @dataclass
 class Lexicon:
-    """Sorted 64-bit hashes of the band's terms."""
+    """Sorted 64-bit hashes of the band's terms; workers add each term's subsets as bits."""
 
     hashes: np.ndarray
 
     def __post_init__(self) -> None:
         self.seen: dict[str, int] = {}
+        self.bits: np.ndarray | None = None
 
     def __getstate__(self):
-        return {"hashes": self.hashes, "seen": {}}
+        return {"hashes": self.hashes, "seen": {}, "bits": None}
 
-    def places(self, text: str) -> tuple[np.ndarray, bool]:
-        """(hashes of the text's distinct terms in the band, sorted; whether there were terms at all). With none in the band all its terms count."""
-        terms = set(TERM.findall(text.lower()))
-        if not terms:
-            return np.zeros(0, np.uint64), False
+    def places(self, terms: set[str]) -> np.ndarray:
+        """Places in the lexicon, sorted, of the terms that are in the band."""
         seen = self.seen
         new = [w for w in terms if w not in seen]
         if new:
             if len(seen) > CACHE:
                 seen.clear()
                 new = list(terms)
-            h = np.array([term_hash(w) for w in new], np.uint64)
+            h = np.fromiter(map(term_hash, new), np.uint64, len(new))
             at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
             ok = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
-            seen.update(zip(new, np.where(ok, h, 0).tolist(), strict=True))
-        h = np.array([x for w in terms if (x := seen[w])], np.uint64)
-        if not len(h):
-            h = np.array([term_hash(w) for w in terms], np.uint64)
-        h.sort()
-        return h, True
+            seen.update(zip(new, np.where(ok, at, -1).tolist(), strict=True))
+        at = np.array([x for w in terms if (x := seen[w]) >= 0], np.int64)
+        at.sort()
+        return at
 
     def fingerprint(self, text: str) -> np.ndarray:
-        h, some = self.places(text)
-        if not some:  # no terms: the text itself, alike in every subset
+        """A hash for each subset. With no term in the band all the text's terms count; with no terms, the text itself."""
+        terms = set(TERM.findall(text.lower()))
+        if not terms:
             return np.full(SLOTS, xxhash.xxh64_intdigest(text) % 65535 + 1, np.uint16)
-        inside = membership(h)
-        out = np.zeros(SLOTS, np.uint16)
-        for j in np.flatnonzero(inside.any(axis=0)).tolist():
-            out[j] = xxhash.xxh64_intdigest(h[inside[:, j]].tobytes(), j) % 65535 + 1
-        return out
+        if self.bits is None:
+            self.bits = np.concatenate([np.packbits(membership(x), axis=1) for x in np.array_split(self.hashes, len(self.hashes) // 50_000 + 1)])
+        at = self.places(terms)
+        if len(at):
+            return subset_hashes(self.hashes[at], np.unpackbits(self.bits[at], axis=1, count=SLOTS).view(bool))
+        h = np.sort(np.fromiter(map(term_hash, terms), np.uint64, len(terms)))
+        return subset_hashes(h, membership(h))
 
 
 def as_text(f: np.ndarray) -> str:
