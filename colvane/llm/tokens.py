@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -38,9 +39,12 @@ def byte_characters() -> list[str]:
 
 
 BYTE_CHARS = byte_characters()
+SPACE = BYTE_CHARS[32]
 
 
 def as_byte_characters(s: str) -> str:
+    if s.isascii() and s[0] == " " and s[1:].isalnum():
+        return SPACE + s[1:]
     return s if s.isascii() and s.isalnum() else "".join([BYTE_CHARS[b] for b in s.encode()])
 
 
@@ -66,7 +70,7 @@ class LibraryChunks:
 
     def __call__(self, chunks: list[str]) -> list[bytes]:
         cache, out = self.cache, []
-        if len(cache) > CACHE:
+        if len(cache) > 2 * CACHE:
             cache.clear()
             self.pre.clear()
         for c in chunks:
@@ -87,7 +91,7 @@ class LibraryChunks:
         for w in words:
             got = self.pre.get(w)
             if got is None:
-                got = self.pre[w] = np.array([t.id for t in self.model.tokenize(as_byte_characters(w))], "<u4").tobytes()
+                got = self.pre[w] = array("I", [t.id for t in self.model.tokenize(as_byte_characters(w))]).tobytes()
             out.append(got)
         return b"".join(out)
 
