@@ -23,7 +23,7 @@ from colvane.llm.words import gram_hashes, word_hashes
 
 SEED_WORDS, WINDOW = 6, 16
 #: A gap of one word on either side costs so many matched words.
-GAP_COST = 0.25
+GAP_COST = 0.05
 #: Seeds a word along a chain, of 2 / (WINDOW + 1) expected in equal texts, from which it surely verifies.
 SURE_SEEDS = 0.08
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
