@@ -20,7 +20,7 @@ from colvane.llm.labels import training_rows
 BUCKETS = 1 << 18
 DIMENSIONS = 16
 #: The bound on labelled documents that training reads.
-MAX_TRAIN = 5_000
+MAX_TRAIN = 4_000
 #: Lengths of character n-grams of a word between its marks.
 GRAMS = (2, 3, 4)
 

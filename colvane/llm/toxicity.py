@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colvane.llm.common import held_out, mixed, ragged, rebatched, small_batches, texts
+from colvane.llm.common import held_out, mixed, ragged, rebatched, small_batches, stored, texts
 from colvane.llm.labels import training_rows
 
 #: Hashed features of a word: itself, its first 3 to 6 characters, its last 3 and 4.
@@ -103,8 +103,18 @@ def document_scores(w: np.ndarray, bias: float, docs: list[str]) -> tuple[np.nda
     return -np.expm1(clear), sigmoid(z), doc_of
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 30, rate: float = 0.03, pull: float = 3e-4, positive: float = 2.0, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Weights and bias from (label, features, sentence of each) of documents.
+def leaning(seen: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features that lean clearly to one label, and their first weights; n has the number of documents of each label."""
+    odds = np.log((seen[1] + 2 * n[1] / n.sum()) / n[1]) - np.log((seen[0] + 2 * n[0] / n.sum()) / n[0])
+    error = np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))
+    ids = np.flatnonzero((seen.sum(axis=0) >= MIN_DOCS) & (np.abs(odds) > MIN_ERRORS * error))
+    return ids, np.maximum(odds[ids], 0) / 2
+
+
+def fit(rows: list[tuple], seen: np.ndarray | None = None, epochs: int = 30, rate: float = 0.03, pull: float = 3e-4, positive: float = 2.0, seed: int = 1) -> tuple[np.ndarray, float]:
+    """Weights and bias from (label, features, sentence of each[, number of sentences]) of documents.
+
+    `seen` has the number of documents of each label (0, 1) with each feature; without it rows are counted.
 
     Only features that lean clearly to one label take part; they start from half their log odds. Then stochastic
     gradient descent on the noisy-or's log loss, with `positive` times the weight for label 1 and a pull to the start.
@@ -113,19 +123,17 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 30, rate:
     n = np.array([sum(1 for y, *_ in rows if y != 1), sum(1 for y, *_ in rows if y == 1)])
     if not n.all():
         return w, bias
-    seen = np.zeros((2, FEATURES), np.int64)
-    for y, f, _ in rows:
-        seen[int(y == 1), np.unique(f)] += 1
-    odds = np.log((seen[1] + 2 * n[1] / n.sum()) / n[1]) - np.log((seen[0] + 2 * n[0] / n.sum()) / n[0])
-    error = np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))
-    ids = np.flatnonzero((seen.sum(axis=0) >= MIN_DOCS) & (np.abs(odds) > MIN_ERRORS * error))
-    start = np.maximum(odds[ids], 0) / 2
+    if seen is None:
+        seen = np.zeros((2, FEATURES), np.int64)
+        for y, f, *_ in rows:
+            seen[int(y == 1), np.unique(f)] += 1
+    ids, start = leaning(seen, n)
     place = np.full(FEATURES, -1, np.int64)
     place[ids] = np.arange(len(ids))
     data = []
-    for y, f, s in rows:
+    for y, f, s, *k in rows:
         p = place[f]
-        data.append((y, p[p >= 0], s[p >= 0], int(s.max()) + 1 if len(s) else 1))
+        data.append((y, p[p >= 0], s[p >= 0], k[0] if k else int(s.max()) + 1 if len(s) else 1))
     own, size = start.copy(), 64
     for _ in range(epochs):
         order = rng.permutation(len(data))
@@ -147,23 +155,55 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 30, rate:
 
 
 def learn(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, limit: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
-    """Fits the model on at most `limit` labelled documents; executors make the features, the driver gets numbers."""
+    """Fits the model on at most `limit` labelled documents.
+
+    Executors count features by label; the driver gets counts of features in MIN_DOCS documents, chooses those that
+    lean, and then gets the chosen features of each sentence alone.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = stored(training_rows(docs, labels, "toxic", modulus, remainder, limit), "training")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, FEATURES), np.int32)
+        for t in rebatched(batches, size=1_000_000):
+            f, sent, doc_of = features(texts(t))
+            y = np.asarray(t.column("y").combine_chunks(), np.int64) == 1
+            pair = np.unique(doc_of[sent] * FEATURES + f) if len(f) else f
+            np.add.at(seen, (y[pair // FEATURES].astype(np.int64), pair % FEATURES), 1)
+        for label in (0, 1):
+            ids = np.flatnonzero(seen[label])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), label)), pa.array(ids), pa.array(seen[label][ids].astype(np.int64))], names=["y", "f", "n"])
+
+    each = rows.mapInArrow(count, "y long, f long, n long").groupBy("f").agg(*(F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0)).alias(f"n{y}") for y in (0, 1)))
+    common = each.where(F.col("n0") + F.col("n1") >= MIN_DOCS).toArrow()
+    seen = np.zeros((2, FEATURES), np.int64)
+    for y in (0, 1):
+        seen[y, common.column("f").to_numpy()] = common.column(f"n{y}").to_numpy()
+    totals = rows.agg(F.sum((F.col("y") != 1).cast("long")), F.sum((F.col("y") == 1).cast("long"))).first()
+    n = np.array([totals[0] or 0, totals[1] or 0])
+    if not n.all():
+        return fit([])
+    chosen = spark.sparkContext.broadcast(leaning(seen, n)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in rebatched(batches, size=2_000_000):
+        wanted = np.zeros(FEATURES, bool)
+        wanted[chosen.value] = True
+        for t in rebatched(batches, size=1_000_000):
             f, sent, doc_of = features(texts(t))
-            doc = doc_of[sent] if len(sent) else sent
+            f, sent = f[wanted[f]], sent[wanted[f]]
+            doc = doc_of[sent]
             order = np.argsort(doc, kind="stable")
             f, sent, cuts = f[order], sent[order], np.searchsorted(doc[order], np.arange(t.num_rows + 1))
-            first = np.searchsorted(doc_of, np.arange(t.num_rows))
+            first = np.searchsorted(doc_of, np.arange(t.num_rows + 1))
             fs = [f[a:b].astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
             ss = [(sent[a:b] - o).astype("<i4").tobytes() for a, b, o in zip(cuts, cuts[1:], first, strict=False)]
-            yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().cast(pa.int64()), t.column("y").combine_chunks(), pa.array(fs, pa.binary()), pa.array(ss, pa.binary())], names=["doc_id", "y", "f", "s"])
+            k = np.maximum(np.diff(first), 1)
+            yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().cast(pa.int64()), t.column("y").combine_chunks(), pa.array(fs, pa.binary()), pa.array(ss, pa.binary()), pa.array(k)], names=["doc_id", "y", "f", "s", "k"])
 
-    small_batches(docs.sparkSession)
-    got = training_rows(docs, labels, "toxic", modulus, remainder, limit).mapInArrow(run, "doc_id long, y int, f binary, s binary").toArrow().sort_by("doc_id")
-    rows = [(y, np.frombuffer(f, "<i4").astype(np.int64), np.frombuffer(s, "<i4").astype(np.int64)) for y, f, s in zip(*(got.column(c).to_pylist() for c in "yfs"), strict=True)]
-    return fit(rows)
+    got = rows.mapInArrow(run, "doc_id long, y int, f binary, s binary, k long").toArrow().sort_by("doc_id")
+    data = [(y, np.frombuffer(f, "<i4").astype(np.int64), np.frombuffer(s, "<i4").astype(np.int64), k) for y, f, s, k in zip(*(got.column(c).to_pylist() for c in "yfsk"), strict=True)]
+    return fit(data, seen)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], offending: float = 0.5) -> DataFrame:
