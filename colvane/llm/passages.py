@@ -162,6 +162,24 @@ def spans_of(text: str) -> np.ndarray:
     return np.array([m.span() for m in WORD.finditer(text)], np.int64).reshape(-1, 2)
 
 
+def fewest(found: list[tuple]) -> list[tuple]:
+    """The fewest of these (start, end, ...) that cover all that they cover together. Text that repeats itself matches a
+    source at every shift; a few of those matches cover it."""
+    found, out, i, at = sorted(found), [], 0, -1
+    while i < len(found):
+        if found[i][0] > at:  # a gap
+            at = found[i][0]
+        best = None
+        while i < len(found) and found[i][0] <= at:
+            if best is None or found[i][1] > best[1]:
+                best = found[i]
+            i += 1
+        if best is not None and best[1] > at:
+            out.append(best)
+            at = best[1]
+    return out
+
+
 def seeds(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in rebatched(batches):
@@ -247,7 +265,8 @@ def chained(docs: DataFrame, min_words: int) -> DataFrame:
 def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8) -> DataFrame:
     """Passages of at least min_words words of a document that an earlier one (smaller doc_id) has, exactly or nearly.
 
-    One source is given for a passage; a match that lies inside a longer one of the same document is left out.
+    One source is given for a passage; a match that lies inside longer ones of the same document is left out, and of
+    overlapping matches to one source the fewest that cover the same words are listed.
     doc_id, start, end (code points), n_words, match_doc_id, match_start, match_end, identity (matched words over the
     longer side). The first document of a passage is never listed for it. Null doc_ids and null, empty or short texts
     have none; equal rows of one doc_id aren't repeats of each other (with different texts the largest is taken); an
@@ -256,7 +275,22 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    window = "doc_id long, source long, chain array<long>, low long, words binary, spans binary"
+    window = "doc_id long, source long, chains array<array<long>>, low long, words binary, spans binary"
+
+    def clusters(found: list[dict], n: int) -> Iterator[tuple]:
+        """(source, chains, low, high): chains to one source whose windows overlap share a window."""
+        sides = SEED_WORDS + WINDOW + 40
+        wanted = sorted((x["source"], max(0, c[0] - sides), min(n, c[-3] + c[-1] + sides), c) for x in found for c in [x["chain"]])
+        held: tuple | None = None
+        for source, low, high, c in wanted:
+            if held and held[0] == source and low <= held[3]:
+                held = source, [*held[1], c], held[2], max(held[3], high)
+            else:
+                if held:
+                    yield held
+                held = source, [c], low, high
+        if held:
+            yield held
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in rebatched(batches, size=1_000_000):
@@ -266,30 +300,32 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
             ends = np.searchsorted(doc, np.arange(len(own) + 1))
             for i, (doc_id, found) in enumerate(zip(t.column("doc_id").to_pylist(), t.column("found").to_pylist(), strict=True)):
                 w, spans = h[ends[i] : ends[i + 1]], spans_of(own[i])
-                for x in found:
-                    c = x["chain"]
-                    low, high = max(0, c[0] - 40 - SEED_WORDS - WINDOW), min(len(w), c[-3] + c[-1] + 40 + SEED_WORDS + WINDOW)
+                for source, some, low, high in clusters(found, len(w)):
                     if high > low:
-                        rows.append((doc_id, x["source"], c, low, w[low:high].astype("<u4").tobytes(), spans[low:high].astype("<u4").tobytes()))
+                        rows.append((doc_id, source, some, low, w[low:high].astype("<u4").tobytes(), spans[low:high].astype("<u4").tobytes()))
             cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "source", "chain", "low", "words", "spans"])
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "source", "chains", "low", "words", "spans"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = (None, None, None)
         for t in batches:
             rows = []
-            for doc_id, source, chain, low, words, spans, text in zip(*(c.to_pylist() for c in t.columns), strict=True):
+            for doc_id, source, some, low, words, spans, text in zip(*(c.to_pylist() for c in t.columns), strict=True):
                 if held[0] != source:
                     text = text or ""
                     held = source, word_hashes([text])[0].astype("<u4"), spans_of(text)
                 x, xs, y, ys = np.frombuffer(words, "<u4"), np.frombuffer(spans, "<u4").reshape(-1, 2), held[1], held[2]
-                pieces = [(q - low, c, m) for q, c, m in zip(chain[::3], chain[1::3], chain[2::3], strict=True) if 0 <= q - low < len(x) and c < len(y)]
-                if not pieces:
-                    continue
-                a, b, c, d, matched = aligned(pieces, x, y)
-                share = matched / max(b - a, d - c, 1)
-                if b - a >= min_words and share >= identity:
+                good = []
+                for chain in some:
+                    pieces = [(q - low, c, m) for q, c, m in zip(chain[::3], chain[1::3], chain[2::3], strict=True) if 0 <= q - low < len(x) and c < len(y)]
+                    if not pieces:
+                        continue
+                    a, b, c, d, matched = aligned(pieces, x, y)
+                    share = matched / max(b - a, d - c, 1)
+                    if b - a >= min_words and share >= identity:
+                        good.append((a, b, c, d, share))
+                for a, b, c, d, share in fewest(good):
                     rows.append((doc_id, int(xs[a][0]), int(xs[b - 1][1]), b - a, source, int(ys[c][0]), int(ys[d - 1][1]), share))
             cols = list(zip(*rows, strict=True)) or [()] * 8
             names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -298,7 +334,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
     found = stored(chained(docs, min_words), "chains")
     mine = stored(docs.join(found, "doc_id").select("doc_id", "text", "found").mapInArrow(extract, window), "windows")
     theirs = docs.select(F.col("doc_id").alias("source"), "text").join(mine.select("source").distinct(), "source", "left_semi").groupBy("source").agg(F.max("text").alias("text"))
-    both = mine.join(theirs, "source").select("doc_id", "source", "chain", "low", "words", "spans", "text")
+    both = mine.join(theirs, "source").select("doc_id", "source", "chains", "low", "words", "spans", "text")
     return both.mapInArrow(align, SCHEMA)
 
 

@@ -303,3 +303,22 @@ def test_pipeline(spark):
         n.append(at.count())
     assert n == sorted(n, reverse=True) and n[4] == n[3] > n[0] / 2
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == n[4]
+
+
+def test_fewest_matches_cover_all():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        spans = [(int(a), int(a + n)) for a, n in zip(rng.integers(0, 40, 12), rng.integers(1, 12, 12), strict=True)]
+        kept = passages.fewest(spans)
+        words = lambda s: {i for a, b in s for i in range(a, b)}
+        assert set(kept) <= set(spans) and words(kept) == words(spans)
+        assert all(words(kept) != words([y for y in kept if y != x]) for x in kept)
+    assert passages.fewest([]) == []
+
+
+def test_text_that_repeats_itself_has_few_matches(spark):
+    short, long = " ".join(["so it is."] * 25), " ".join(["so it is."] * 200)
+    found = passages.repeated_passages(spark.createDataFrame([(1, short), (2, long)], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["match_doc_id"]) for r in found} == {(2, 1)} and len(found) <= 12
+    covered = {i for r in found for i in range(r["start"], r["end"])}
+    assert len(covered) >= 0.95 * len(long)
