@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colvane.llm.common import mixed, rebatched, small_batches, stored, texts
+from colvane.llm.common import forget, mixed, rebatched, small_batches, stored, texts
 from colvane.llm.graph import components
 from colvane.llm.words import shingle_sets
 
@@ -120,9 +120,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, stars: in
     docs = docs.select("doc_id", "text")
     signed = signatures(docs, k, percent)
     known = signed.where("doc_id is not null and n > 0")
-    classes = stored(known.groupBy("n", "whole").agg(F.min(F.struct("doc_id", "same", "prefix")).alias("m")).select("n", "whole", F.col("m.doc_id").alias("id"), "m.same", "m.prefix"), "classes")
-    groups = classes.groupBy("n", "same").agg(F.min(F.struct("id", "prefix")).alias("m"), F.count("*").alias("members")).select("n", "same", F.col("m.id").alias("gid"), "m.prefix", "members")
-    members = classes.join(groups.select("n", "same", "gid"), ["n", "same"]).select("id", "gid")
+    # prefixes are shuffled once, by group; all else about documents and classes is narrow
+    groups = stored(known.groupBy("n", "same").agg(F.min(F.struct("doc_id", "prefix")).alias("m")).select("n", F.col("m.doc_id").alias("gid"), "m.prefix"), "groups")
+    firsts = known.groupBy("n", "same").agg(F.min("doc_id").alias("gid"))
+    classes = stored(known.groupBy("n", "whole", "same").agg(F.min("doc_id").alias("id")).join(firsts, ["n", "same"]).select("n", "whole", "id", "gid"), "classes")
+    members = classes.select("id", "gid")
+    sizes = stored(signed.select("doc_id", "n", "whole"), "sizes")
+    forget(signed)
     postings = groups.select("gid", "n", size_class(F.col("n")).alias("s"), F.posexplode("prefix").alias("p", "token"))
     shared = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     postings = postings.join(shared, "token")
@@ -131,6 +135,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, stars: in
     met = spread.groupBy("token", "cell").agg(F.count("*").alias("c")).where("c > 1").select("token", "cell")
     alive = spread.join(met, ["token", "cell"]).select("token", "gid").distinct()
     postings = stored(postings.join(alive, ["token", "gid"], "left_semi"), "postings")
+    forget(groups)
 
     some = postings.select("gid").distinct().join(members, "gid").select("id").union(members.where("id <> gid").select("id")).union(members.where("id <> gid").select("gid")).distinct()
 
@@ -193,6 +198,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, stars: in
         label = components(links)
     counts = links.select("a", "b").union(links.select("b", "a")).distinct().groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links"))
     done = classes.select("n", "whole", "id").join(label, "id", "left").join(counts, "id", "left").select("n", "whole", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = signed.select("doc_id", "n", "whole").join(done, ["n", "whole"], "left")
+    out = sizes.join(done, ["n", "whole"], "left")
     alone = F.col("doc_id").isNull() | F.col("component").isNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
