@@ -223,3 +223,21 @@ def combinations_count(k: Column, n: Column) -> Column:
     """n over k; exact while it fits a double."""
     product = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k.cast("long"), F.lit(1).cast("long"))), F.lit(1.0), lambda acc, i: acc * (n - k + i) / i)
     return F.when(k == 0, 1.0).when((k < 0) | (k > n), 0.0).otherwise(F.round(product))
+
+
+def spline(x: Column, knots: list[tuple[float, float]], clamp: bool = False) -> Column:
+    """The natural cubic spline through the knots at x; beyond them null, or with `clamp` the nearest knot's value."""
+    xs, ys = (np.array(v, float) for v in zip(*sorted(knots), strict=True))
+    h, n = np.diff(xs), len(xs)
+    bend = np.zeros(n)  # second derivatives; none at the ends
+    if n > 2:
+        a = np.diag(2 * (h[:-1] + h[1:])) + np.diag(h[1:-1], 1) + np.diag(h[1:-1], -1)
+        bend[1:-1] = np.linalg.solve(a, 6 * np.diff(np.diff(ys) / h))
+    at = [F.array(*map(F.lit, v.tolist())) for v in (xs, ys, bend)]
+    x = x.cast("double")
+    x = F.least(F.greatest(x, F.lit(float(xs[0]))), F.lit(float(xs[-1]))) + x * 0 if clamp else x
+    left = F.least(F.greatest(F.size(F.filter(at[0], lambda k: k <= x)), F.lit(1)), F.lit(n - 1))
+    (x0, y0, b0), (x1, y1, b1) = ([F.element_at(v, left + i) for v in at] for i in (0, 1))
+    t, u = (x - x0) / (x1 - x0), (x1 - x) / (x1 - x0)
+    y = u * y0 + t * y1 + (x1 - x0) * (x1 - x0) / 6 * ((u * u * u - u) * b0 + (t * t * t - t) * b1)
+    return F.when((x >= float(xs[0])) & (x <= float(xs[-1])), y)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from colvane.functions import dist as P
 from colvane.functions import grad as G
 from colvane.functions import mathx as M
-from colvane.functions import sets, stats
+from colvane.functions import codes, sets, stats
 from colvane.plans.registry import query, r4, t
 
 
@@ -99,6 +99,16 @@ query("fft")(lambda s, d: t(s, d, "embeddings").select("vec_id", F.transform(M.f
 query("gauss")(lambda s, d: t(s, d, "part").select("p_partkey", M.solve(F.array(F.lit(2.0), F.lit(1.0), F.col("p_size").cast("double"), F.lit(1.0), F.lit(3.0), F.col("p_retailprice"))).alias("v")))
 query("eigenvalues")(lambda s, d: t(s, d, "part").select("p_partkey", M.eigenvalues(F.array(F.lit(2.0), F.col("p_size").cast("double"), F.col("p_size").cast("double"), F.lit(1.0))).alias("v")))
 
+CURVE = "case when x <= 1 then 1.5 * x - 0.5 * x * x * x else 1.5 * (2 - x) - 0.5 * (2 - x) * (2 - x) * (2 - x) end"
+query("spline", f"select p_partkey, case when x <= 2 then round({CURVE}, 4) end as v, round(case when x <= 2 then {CURVE} else 0.0 end, 4) as clamped from (select p_partkey, cast(p_size as double) / 20 as x from part)")(lambda s, d: t(s, d, "part").select("p_partkey", (F.col("p_size") / 20).alias("x")).select("p_partkey", r4(M.spline(F.col("x"), [(0, 0), (1, 1), (2, 0)]), "v"), r4(M.spline(F.col("x"), [(0, 0), (1, 1), (2, 0)], True), "clamped")))
+
+
+@query("huffman", "select p_partkey, p_name as v from part")
+def huffman(s, d):
+    """Names encoded and decoded again."""
+    code = codes.huffman(codes.character_counts(t(s, d, "part"), "p_name"))
+    return t(s, d, "part").select("p_partkey", codes.decode(codes.encode(F.col("p_name"), code), code).alias("v"))
+
 # sets
 query("set_cp", "select r_regionkey as a, n_nationkey as b from region cross join nation")(lambda s, d: sets.product(t(s, d, "region").select(F.col("r_regionkey").alias("a")), t(s, d, "nation").select(F.col("n_nationkey").alias("b"))))
 query("set_powerset", "select m, [i for i in range(5) if (m >> cast(i as integer)) & 1 = 1] as v from range(32) r(m)")(lambda s, d: s.range(32).select(F.col("id").alias("m"), F.filter(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")), lambda i: (F.pmod(F.floor(F.col("id") / F.pow(F.lit(2.0), i)), F.lit(2)) == 1)).alias("v")))
