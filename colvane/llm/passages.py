@@ -4,7 +4,8 @@ Seeds are k-word hashes chosen by winnowing, so equal runs of k + window - 1 wor
 are joined to its first one (smallest doc_id, then place): a star, linear in the occurrences, so a passage that many
 documents share makes no pairs among them. For each document and source the matches are merged along their diagonals
 and chained in order under linear gap costs with a Fenwick tree of prefix maxima. Chains are aligned on the words of
-both texts, with common subsequences in the gaps, and extended while words agree.
+both texts, with common subsequences in the gaps, and extended while words agree; of an alignment each longest stretch
+of the asked identity is a match, down to single anchors. Only verified matches cover others.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colvane.llm.common import partitions, rebatched, small_batches, stored, texts
+from colvane.llm.common import forget, partitions, rebatched, small_batches, stored, texts
 from colvane.llm.words import gram_hashes, word_hashes
 
 SEED_WORDS, WINDOW = 6, 16
@@ -26,8 +27,14 @@ SEED_WORDS, WINDOW = 6, 16
 GAP_COST = 0.05
 #: Seeds a word along a chain, of 2 / (WINDOW + 1) expected in equal texts, from which it surely verifies.
 SURE_SEEDS = 0.08
+#: An unequal word costs so many equal ones where an alignment ends.
+END_COST = 2
+#: Cells of a common subsequence up to which all its rows are held.
+MOST_CELLS = 1 << 24
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, start long, end long, n_words long, match_doc_id long, match_start long, match_end long, identity double"
+#: Chains of a document; those for later lie inside others and are tried where those fail.
+FOUND = "doc_id long, found array<struct<source:long,chain:array<long>,later:boolean>>"
 
 
 def winnowed(h: np.ndarray, doc: np.ndarray, k: int = SEED_WORDS, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -122,21 +129,47 @@ def chains(found: list[tuple[int, int, int]], cost: float = GAP_COST) -> list[li
     return out
 
 
-def common_words(x: list[int], y: list[int]) -> int:
-    """Length of the longest common subsequence, by one integer of len(y) bits."""
+def common(x: list[int], y: list[int]) -> list[tuple[int, int]]:
+    """Places (in x, in y) of a longest common subsequence, by integers of len(y) bits; of equal ones the earliest places."""
+    if len(x) > 1 and len(x) * len(y) > MOST_CELLS:  # halves of x against the best parts of y need less memory
+        half = len(x) // 2
+        cut = int((ranks(x[:half], y) + ranks(x[half:][::-1], y[::-1])[::-1]).argmax())
+        return common(x[:half], y[:cut]) + [(half + i, cut + j) for i, j in common(x[half:], y[cut:])]
+    states, out = list(lengths(x, y)), []
+    i, j = len(x), len(y)
+    while i and j:
+        if states[i] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+            if states[i] >> (j - 1) & 1:
+                j -= 1
+                out.append((i, j))
+    return out[::-1]
+
+
+def lengths(x: list[int], y: list[int]) -> Iterator[int]:
+    """After each prefix of x an integer whose bit j is 0 where y[j] lengthens the subsequence common with y[:j]."""
     where: dict[int, int] = {}
     for i, w in enumerate(y):
         where[w] = where.get(w, 0) | 1 << i
-    full = (1 << len(y)) - 1
-    state = full
+    state = full = (1 << len(y)) - 1
+    yield state
     for w in x:
         hit = state & where.get(w, 0)
         state = (state + hit | state - hit) & full
-    return len(y) - state.bit_count()
+        yield state
 
 
-def aligned(chain: list[tuple[int, int, int]], x: np.ndarray, y: np.ndarray) -> tuple[int, int, int, int, int]:
-    """(q start, q end, c start, c end, words matched) of a chain, verified and extended on the words of both texts."""
+def ranks(x: list[int], y: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of x with each prefix of y."""
+    *_, state = lengths(x, y)
+    bits = np.unpackbits(np.frombuffer(state.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def aligned(chain: list[tuple[int, int, int]], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in both texts of the equal words along a chain, extended while words agree."""
     pieces = []
     for q, c, m in chain:
         m = min(m, len(x) - q, len(y) - c)
@@ -149,13 +182,59 @@ def aligned(chain: list[tuple[int, int, int]], x: np.ndarray, y: np.ndarray) ->
     ahead = min(len(x) - ql - ml, len(y) - cl - ml)
     differ = np.flatnonzero(x[ql + ml : ql + ml + ahead] != y[cl + ml : cl + ml + ahead])
     ahead = int(differ[0]) if len(differ) else ahead
-    matched = back + ahead
+    at = [np.arange(q - back, q)]
+    to = [np.arange(c - back, c)]
     for k, (q, c, m) in enumerate(pieces):
-        matched += int(np.count_nonzero(x[q : q + m] == y[c : c + m]))
         if k:
             qp, cp, mp = pieces[k - 1]
-            matched += common_words(x[qp + mp : q].tolist(), y[cp + mp : c].tolist())
-    return pieces[0][0] - back, ql + ml + ahead, pieces[0][1] - back, cl + ml + ahead, matched
+            if q > qp + mp and c > cp + mp:
+                between = np.array(common(x[qp + mp : q].tolist(), y[cp + mp : c].tolist()), np.int64).reshape(-1, 2)
+                at.append(qp + mp + between[:, 0])
+                to.append(cp + mp + between[:, 1])
+        same = np.flatnonzero(x[q : q + m] == y[c : c + m])
+        at.append(q + same)
+        to.append(c + same)
+    at.append(np.arange(ql + ml, ql + ml + ahead))
+    to.append(np.arange(cl + ml, cl + ml + ahead))
+    return np.concatenate(at), np.concatenate(to)
+
+
+def parts(at: np.ndarray, to: np.ndarray, min_words: int, identity: float) -> list[tuple[int, int, int, int, float]]:
+    """(q start, q end, c start, c end, identity) of the longest stretches of an alignment that reach min_words and
+    identity, then the longest of what is left of it on both sides. Ends with END_COST unequal words or more for two
+    equal ones are trimmed, as long as identity and min_words hold."""
+    if not len(at):
+        return []
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(to) != 1)]))
+    last = np.append(first[1:], len(at)) - 1
+    qs, cs, qe, ce, n = at[first], to[first], at[last] + 1, to[last] + 1, last - first + 1
+    total = np.cumsum(n)
+    gaps = np.maximum(qs[1:] - qe[:-1], cs[1:] - ce[:-1])
+    after = total - END_COST * np.concatenate([[0], np.cumsum(gaps)])  # the score up to each run's end
+    share = lambda i, j: float(total[j] - total[i] + n[i]) / max(qe[j] - qs[i], ce[j] - cs[i])
+    out, left = [], [(0, len(n))]
+    while left:
+        lo, hi = left.pop()
+        if lo >= hi or qe[hi - 1] - qs[lo] < min_words:
+            continue
+        best, i, j = 0, -1, -1
+        for a in range(lo, hi):
+            if qe[hi - 1] - qs[a] < max(min_words, best + 1):
+                break
+            span = np.maximum(qe[a:hi] - qs[a], ce[a:hi] - cs[a])
+            good = np.flatnonzero(total[a:hi] - total[a] + n[a] >= identity * span)
+            if len(good) and qe[a + good[-1]] - qs[a] > best:
+                i, j = a, a + int(good[-1])
+                best = int(qe[j] - qs[i])
+        if best < min_words:
+            continue
+        k = i + int(after[i : j + 1].argmax())
+        h = k - int((after[i : k + 1] - n[i : k + 1])[::-1].argmin())
+        if share(h, k) >= identity and qe[k] - qs[h] >= min_words:
+            i, j = h, k
+        out.append((int(qs[i]), int(qe[j]), int(cs[i]), int(ce[j]), share(i, j)))
+        left += [(lo, i), (j + 1, hi)]
+    return out
 
 
 def spans_of(text: str) -> np.ndarray:
@@ -180,6 +259,14 @@ def fewest(found: list[tuple]) -> list[tuple]:
     return out
 
 
+def within(low: int, high: int, cover: list[tuple[int, int]]) -> bool:
+    """Whether sorted spans cover low .. high together."""
+    for a, b in cover:
+        if a <= low < b:
+            low = b
+    return low >= high
+
+
 def seeds(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in rebatched(batches):
@@ -212,22 +299,17 @@ def chained(docs: DataFrame, min_words: int) -> DataFrame:
         return out
 
     def uncovered(found: list[tuple]) -> list[dict]:
-        """Drops chains that lie inside what longer, sure ones cover: one source is enough for a passage."""
-        sure = sorted((low, high) for low, high, ok, *_ in found if ok)
+        """Marks chains for later that lie inside what longer, sure ones cover: one source is enough for a passage."""
         kept, cover = [], []
         for low, high, ok, source, chain in sorted(found, key=lambda x: (x[0] - x[1], not x[2], x[3])):
-            left = low
-            for a, b in cover:
-                if a <= left < b:
-                    left = b
-            if left < high or not sure:
-                kept.append({"source": source, "chain": [v for a in chain for v in a]})
-                if ok:
-                    cover.append((low, high))
-                    cover.sort()
+            inside = within(low, high, cover)
+            kept.append({"source": source, "chain": [v for a in chain for v in a], "later": inside})
+            if ok and not inside:
+                cover.append((low, high))
+                cover.sort()
         return kept
 
-    kind = pa.list_(pa.struct([("source", pa.int64()), ("chain", pa.list_(pa.int64()))]))
+    kind = pa.list_(pa.struct([("source", pa.int64()), ("chain", pa.list_(pa.int64())), ("later", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -259,7 +341,7 @@ def chained(docs: DataFrame, min_words: int) -> DataFrame:
         if rest is not None:
             yield out(rest)
 
-    return dealt.mapInArrow(run, "doc_id long, found array<struct<source:long,chain:array<long>>>")
+    return dealt.mapInArrow(run, FOUND)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8) -> DataFrame:
@@ -275,6 +357,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
     window = "doc_id long, source long, chains array<array<long>>, low long, words binary, spans binary"
 
     def clusters(found: list[dict], n: int) -> Iterator[tuple]:
@@ -321,21 +404,39 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
                     pieces = [(q - low, c, m) for q, c, m in zip(chain[::3], chain[1::3], chain[2::3], strict=True) if 0 <= q - low < len(x) and c < len(y)]
                     if not pieces:
                         continue
-                    a, b, c, d, matched = aligned(pieces, x, y)
-                    share = matched / max(b - a, d - c, 1)
-                    if b - a >= min_words and share >= identity:
-                        good.append((a, b, c, d, share))
+                    good += parts(*aligned(pieces, x, y), min_words, identity)
                 for a, b, c, d, share in fewest(good):
-                    rows.append((doc_id, int(xs[a][0]), int(xs[b - 1][1]), b - a, source, int(ys[c][0]), int(ys[d - 1][1]), share))
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "identity" else pa.int64()) for n, c in zip(names, cols, strict=True)], names=names)
+                    rows.append((doc_id, int(xs[a][0]), int(xs[b - 1][1]), b - a, source, int(ys[c][0]), int(ys[d - 1][1]), share, low + a))
+            cols = list(zip(*rows, strict=True)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "identity" else pa.int64()) for n, c in zip([*names, "word"], cols, strict=True)], names=[*names, "word"])
+
+    def verified(found: DataFrame) -> DataFrame:
+        mine = stored(docs.join(found, "doc_id").select("doc_id", "text", "found").mapInArrow(extract, window), "windows")
+        theirs = docs.select(F.col("doc_id").alias("source"), "text").join(mine.select("source").distinct(), "source", "left_semi").groupBy("source").agg(F.max("text").alias("text"))
+        both = mine.join(theirs, "source").select("doc_id", "source", "chains", "low", "words", "spans", "text")
+        out = stored(both.mapInArrow(align, f"{SCHEMA}, word long"), "verified")
+        forget(mine)
+        return out
+
+    def failed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chains that were left for later and lie in nothing that is verified."""
+        for t in batches:
+            ids, rows = [], []
+            for doc_id, found, spans in zip(*(c.to_pylist() for c in t.columns), strict=True):
+                cover = sorted((x["word"], x["word"] + x["n_words"]) for x in spans or [])
+                if some := [x for x in found if not within(x["chain"][0], x["chain"][-3] + x["chain"][-1], cover)]:
+                    ids.append(doc_id)
+                    rows.append(some)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, t.schema.field("found").type)], names=["doc_id", "found"])
 
     found = stored(chained(docs, min_words), "chains")
-    mine = stored(docs.join(found, "doc_id").select("doc_id", "text", "found").mapInArrow(extract, window), "windows")
-    theirs = docs.select(F.col("doc_id").alias("source"), "text").join(mine.select("source").distinct(), "source", "left_semi").groupBy("source").agg(F.max("text").alias("text"))
-    both = mine.join(theirs, "source").select("doc_id", "source", "chains", "low", "words", "spans", "text")
-    return both.mapInArrow(align, SCHEMA)
+    done = verified(found.withColumn("found", F.filter("found", lambda x: ~x["later"])))
+    later = found.withColumn("found", F.filter("found", lambda x: x["later"])).where("size(found) > 0")
+    spans = done.groupBy("doc_id").agg(F.collect_list(F.struct("word", "n_words")).alias("spans"))
+    rest = stored(later.join(spans, "doc_id", "left").select("doc_id", "found", "spans").mapInArrow(failed, FOUND), "later")
+    if not rest.isEmpty():
+        done = done.union(verified(rest))
+    return done.select(names)
 
 
 def without_passages(docs: DataFrame, found: DataFrame) -> DataFrame:

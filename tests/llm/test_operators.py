@@ -322,3 +322,36 @@ def test_text_that_repeats_itself_has_few_matches(spark):
     assert {(r["doc_id"], r["match_doc_id"]) for r in found} == {(2, 1)} and len(found) <= 12
     covered = {i for r in found for i in range(r["start"], r["end"])}
     assert len(covered) >= 0.95 * len(long)
+
+
+def test_passages_around_a_wide_gap(spark):
+    w = lambda c, n: [f"{c}{i}" for i in range(n)]
+    one, two, stray = w("p", 60), w("q", 60), w("s", 6)
+    rows = [(1, one + w("x", 100) + two), (2, one + w("y", 100) + two), (11, stray + w("g", 40) + w("e", 60)), (12, stray + w("h", 40) + w("e", 60))]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")
+    found = {(r["doc_id"], r["match_doc_id"], r["n_words"], r["identity"]) for r in passages.repeated_passages(df).collect()}
+    assert found == {(2, 1, 60, 1.0), (12, 11, 60, 1.0)} and passages.repeated_passages(df).count() == 3
+
+
+def test_a_failed_match_covers_nothing(spark):
+    w = lambda c, n: [f"{c}{i}" for i in range(n)]
+    a, b, inner = w("a", 200), w("b", 200), w("i", 130)
+    rows = [(1, inner), (2, a + w("z", 130) + b), (3, a + inner + b)]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")
+    found = sorted((r["match_doc_id"], r["n_words"]) for r in passages.repeated_passages(df).where("doc_id = 3").collect())
+    assert found == [(1, 130), (2, 200), (2, 200)]
+
+
+def test_common_words_in_order():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        x, y = rng.integers(0, 6, int(rng.integers(0, 20))).tolist(), rng.integers(0, 6, int(rng.integers(0, 20))).tolist()
+        size = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, v in enumerate(x):
+            for j, u in enumerate(y):
+                size[i + 1][j + 1] = size[i][j] + 1 if v == u else max(size[i][j + 1], size[i + 1][j])
+        got = passages.common(x, y)
+        assert len(got) == size[-1][-1] and all(x[i] == y[j] for i, j in got) and all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:], strict=False))
+        passages.MOST_CELLS, most = 8, passages.MOST_CELLS
+        assert len(passages.common(x, y)) == size[-1][-1]
+        passages.MOST_CELLS = most
