@@ -4,8 +4,9 @@ Seeds are k-word hashes chosen by winnowing, so equal runs of k + window - 1 wor
 are joined to its first one (smallest doc_id, then place): a star, linear in the occurrences, so a passage that many
 documents share makes no pairs among them. For each document and source the matches are merged along their diagonals
 and chained in order under linear gap costs with a Fenwick tree of prefix maxima. Chains are aligned on the words of
-both texts, with common subsequences in the gaps, and extended while words agree; of an alignment each longest stretch
-of the asked identity is a match, down to single anchors. Only verified matches cover others.
+both texts, with common subsequences in the gaps, and extended through unequal words at both ends; of an alignment each
+longest stretch of the asked identity is a match, down to single anchors. Only verified matches cover others. A chain of
+one seed is tried too. An end goes at most 2 * min_words words beyond the outermost seed.
 """
 
 from __future__ import annotations
@@ -19,16 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colvane.llm.common import forget, partitions, rebatched, small_batches, stored, texts
+from colvane.llm.common import forget, mixed, partitions, rebatched, small_batches, stored, texts
 from colvane.llm.words import gram_hashes, word_hashes
 
-SEED_WORDS, WINDOW = 6, 16
+SEED_WORDS, WINDOW = 6, 8
 #: A gap of one word on either side costs so many matched words.
 GAP_COST = 0.05
 #: Seeds a word along a chain, of 2 / (WINDOW + 1) expected in equal texts, from which it surely verifies.
-SURE_SEEDS = 0.08
+SURE_SEEDS = 0.15
 #: An unequal word costs so many equal ones where an alignment ends.
 END_COST = 2
+#: Words beyond an unequal one in which an end must make good for it.
+STRETCH = 40
 #: Cells of a common subsequence up to which all its rows are held.
 MOST_CELLS = 1 << 24
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -37,8 +40,9 @@ SCHEMA = "doc_id long, start long, end long, n_words long, match_doc_id long, ma
 FOUND = "doc_id long, found array<struct<source:long,chain:array<long>,later:boolean>>"
 
 
-def winnowed(h: np.ndarray, doc: np.ndarray, k: int = SEED_WORDS, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(places, seeds): of each `window` consecutive k-word hashes of a document the smallest; all of shorter documents' smallest."""
+def winnowed(h: np.ndarray, doc: np.ndarray, k: int = SEED_WORDS, window: int = WINDOW, long: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """(places, seeds): of each `window` consecutive k-word hashes of a document the smallest; all of shorter documents'
+    smallest; and one of each word said `long` times or more on end, so that shorter runs aren't what they meet."""
     g = gram_hashes(h, k)
     if not len(g):
         return np.zeros(0, np.int64), g
@@ -61,7 +65,11 @@ def winnowed(h: np.ndarray, doc: np.ndarray, k: int = SEED_WORDS, window: int =
     again = np.zeros(len(g), bool)  # a word said over and over is one seed; alignment walks the rest
     again[1:] = (g[1:] == g[:-1]) & (own[1:] == own[:-1])
     chosen &= ~again
-    return at[chosen], g[chosen]
+    begin = np.flatnonzero(~again)
+    begin = begin[np.diff(begin, append=len(g)) > long - k]
+    place, seed = np.concatenate([at[chosen], at[begin]]), np.concatenate([g[chosen], mixed(g[begin], long)])
+    order = np.argsort(place, kind="stable")
+    return place[order], seed[order]
 
 
 class Fenwick:
@@ -168,22 +176,44 @@ def ranks(x: list[int], y: list[int]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(bits == 0)])
 
 
+def beyond(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pairs of places of equal words from the start of both texts on: runs of equal words, and over unequal ones as long
+    as what follows within STRETCH words outweighs them at END_COST."""
+    out, i, j = [], 0, 0
+    while i < len(x) and j < len(y):
+        n = min(len(x) - i, len(y) - j)
+        size = STRETCH
+        while True:  # long equal runs are met in growing steps
+            differ = np.flatnonzero(x[i : i + min(n, size)] != y[j : j + min(n, size)])
+            if len(differ) or size >= n:
+                break
+            size *= 4
+        run = int(differ[0]) if len(differ) else n
+        out.append(np.arange(run)[:, None] + [i, j])
+        i, j = i + run, j + run
+        pairs = np.array(common(x[i : i + STRETCH].tolist(), y[j : j + STRETCH].tolist()), np.int64).reshape(-1, 2)
+        if not len(pairs):
+            break
+        gap = np.diff(pairs, axis=0, prepend=[[-1, -1]]).max(axis=1) - 1
+        worth = np.cumsum(1 - END_COST * gap)
+        k = int(worth.argmax())
+        if worth[k] <= 0:
+            break
+        out.append(pairs[: k + 1] + [i, j])
+        i, j = i + int(pairs[k, 0]) + 1, j + int(pairs[k, 1]) + 1
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
 def aligned(chain: list[tuple[int, int, int]], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in both texts of the equal words along a chain, extended while words agree."""
+    """Places in both texts of the equal words along a chain, extended at both ends."""
     pieces = []
     for q, c, m in chain:
         m = min(m, len(x) - q, len(y) - c)
         if m > 0:
             pieces.append((q, c, m))
     (q, c, _), (ql, cl, ml) = pieces[0], pieces[-1]
-    back = min(q, c)
-    differ = np.flatnonzero(x[q - back : q] != y[c - back : c])
-    back = back - (int(differ[-1]) + 1) if len(differ) else back
-    ahead = min(len(x) - ql - ml, len(y) - cl - ml)
-    differ = np.flatnonzero(x[ql + ml : ql + ml + ahead] != y[cl + ml : cl + ml + ahead])
-    ahead = int(differ[0]) if len(differ) else ahead
-    at = [np.arange(q - back, q)]
-    to = [np.arange(c - back, c)]
+    back, ahead = beyond(x[:q][::-1], y[:c][::-1]), beyond(x[ql + ml :], y[cl + ml :])
+    at, to = [q - 1 - back[::-1, 0]], [c - 1 - back[::-1, 1]]
     for k, (q, c, m) in enumerate(pieces):
         if k:
             qp, cp, mp = pieces[k - 1]
@@ -194,8 +224,8 @@ def aligned(chain: list[tuple[int, int, int]], x: np.ndarray, y: np.ndarray) ->
         same = np.flatnonzero(x[q : q + m] == y[c : c + m])
         at.append(q + same)
         to.append(c + same)
-    at.append(np.arange(ql + ml, ql + ml + ahead))
-    to.append(np.arange(cl + ml, cl + ml + ahead))
+    at.append(ql + ml + ahead[:, 0])
+    to.append(cl + ml + ahead[:, 1])
     return np.concatenate(at), np.concatenate(to)
 
 
@@ -237,6 +267,20 @@ def parts(at: np.ndarray, to: np.ndarray, min_words: int, identity: float) -> li
     return out
 
 
+def matches(chain: list[tuple[int, int, int]], x: np.ndarray, y: np.ndarray, min_words: int, identity: float) -> list[tuple[int, int, int, int, float]]:
+    """The matches along a chain; where they don't cover it, those of its two sides of the widest gap, each extended on its own."""
+    out, left = [], [chain]
+    while left:
+        some = left.pop()
+        got = parts(*aligned(some, x, y), min_words, identity)
+        out += got
+        if len(some) > 1 and not within(some[0][0], some[-1][0] + some[-1][2], sorted((a, b) for a, b, *_ in got)):
+            gaps = [max(q - qp - mp, c - cp - mp) for (qp, cp, mp), (q, c, _) in zip(some, some[1:], strict=False)]
+            k = 1 + gaps.index(max(gaps))
+            left += [some[:k], some[k:]]
+    return out
+
+
 def spans_of(text: str) -> np.ndarray:
     return np.array([m.span() for m in WORD.finditer(text)], np.int64).reshape(-1, 2)
 
@@ -267,11 +311,11 @@ def within(low: int, high: int, cover: list[tuple[int, int]]) -> bool:
     return low >= high
 
 
-def seeds(docs: DataFrame) -> DataFrame:
+def seeds(docs: DataFrame, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in rebatched(batches):
             h, doc = word_hashes(texts(t))
-            at, g = winnowed(h, doc)
+            at, g = winnowed(h, doc, long=min_words)
             n = np.bincount(doc, minlength=t.num_rows)
             own = doc[at]
             ids = np.asarray(t.column("doc_id").combine_chunks(), dtype=np.int64)
@@ -280,22 +324,20 @@ def seeds(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, "seed long, doc_id long, place int")
 
 
-def chained(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, found: array of (source, flat chain)) of documents with chains that can reach min_words."""
-    spark = docs.sparkSession
-    seed = stored(seeds(docs), "seeds")
+def chained(seed: DataFrame) -> DataFrame:
+    """(doc_id, found: array of (source, flat chain, later)) of documents with chains, from their seeds."""
+    spark = seed.sparkSession
     first = seed.groupBy("seed").agg(F.min(F.struct("doc_id", "place")).alias("m"), F.count("*").alias("n")).where("n > 1").select("seed", F.col("m.doc_id").alias("source"), F.col("m.place").alias("there"))
     matches = seed.join(first, "seed").where("source <> doc_id").select("doc_id", "source", "place", "there")
     dealt = matches.repartition(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "source")
 
     def chains_of(source: int, q: np.ndarray, c: np.ndarray) -> list[tuple]:
-        """(span, sure, source, chain) of each chain that can reach min_words; sure if seeds match all along it."""
+        """(span, sure, source, chain) of each chain; sure if seeds match all along it."""
         out, placed = [], np.sort(q)
         for chain in chains(anchors(q, c, SEED_WORDS)):
             low, high = chain[0][0], chain[-1][0] + chain[-1][2]
-            if high - low + 2 * (SEED_WORDS + WINDOW) >= min_words:
-                seen = int(np.searchsorted(placed, high) - np.searchsorted(placed, low))
-                out.append((low, high, seen >= SURE_SEEDS * (high - low), source, chain))
+            seen = int(np.searchsorted(placed, high) - np.searchsorted(placed, low))
+            out.append((low, high, seen >= SURE_SEEDS * (high - low), source, chain))
         return out
 
     def uncovered(found: list[tuple]) -> list[dict]:
@@ -362,7 +404,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
 
     def clusters(found: list[dict], n: int) -> Iterator[tuple]:
         """(source, chains, low, high): chains to one source whose windows overlap share a window."""
-        sides = SEED_WORDS + WINDOW + 40
+        sides = 2 * min_words  # whatever min_words words around a seed, its ends are in the window
         wanted = sorted((x["source"], max(0, c[0] - sides), min(n, c[-3] + c[-1] + sides), c) for x in found for c in [x["chain"]])
         held: tuple | None = None
         for source, low, high, c in wanted:
@@ -404,7 +446,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
                     pieces = [(q - low, c, m) for q, c, m in zip(chain[::3], chain[1::3], chain[2::3], strict=True) if 0 <= q - low < len(x) and c < len(y)]
                     if not pieces:
                         continue
-                    good += parts(*aligned(pieces, x, y), min_words, identity)
+                    good += matches(pieces, x, y, min_words, identity)
                 for a, b, c, d, share in fewest(good):
                     rows.append((doc_id, int(xs[a][0]), int(xs[b - 1][1]), b - a, source, int(ys[c][0]), int(ys[d - 1][1]), share, low + a))
             cols = list(zip(*rows, strict=True)) or [()] * 9
@@ -429,7 +471,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
                     rows.append(some)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, t.schema.field("found").type)], names=["doc_id", "found"])
 
-    found = stored(chained(docs, min_words), "chains")
+    seed = stored(seeds(docs, min_words), "seeds")
+    found = stored(chained(seed), "chains")
+    forget(seed)
     done = verified(found.withColumn("found", F.filter("found", lambda x: ~x["later"])))
     later = found.withColumn("found", F.filter("found", lambda x: x["later"])).where("size(found) > 0")
     spans = done.groupBy("doc_id").agg(F.collect_list(F.struct("word", "n_words")).alias("spans"))

@@ -355,3 +355,26 @@ def test_common_words_in_order():
         passages.MOST_CELLS, most = 8, passages.MOST_CELLS
         assert len(passages.common(x, y)) == size[-1][-1]
         passages.MOST_CELLS = most
+
+
+def test_edits_near_the_ends(spark):
+    w = [f"a{i}" for i in range(60)]
+    x = [*w[:8], "n", *w[9:52], "m", *w[53:]]
+    rows = [(1, "p " * 40 + " ".join(w)), (2, "q r " + " ".join(x) + " t u")]
+    (r,) = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert (r["n_words"], r["identity"]) == (60, 58 / 60)
+
+
+def test_an_edit_every_ten_words(spark):
+    rows = []
+    for i in range(200):
+        w = [f"a{i}_{j}" for j in range(60)]
+        rows += [(i, " ".join(w)), (1000 + i, " ".join("n" if j % 10 == 9 and j < 59 else v for j, v in enumerate(w)))]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) >= 190 and all(r["n_words"] == 60 for r in found)
+
+
+def test_long_runs_of_a_word_meet_past_short_ones(spark):
+    rows = [(1, "so " * 7 + "it goes"), (2, "b c " + "so " * 60), (3, "d e f " + "so " * 70)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["match_doc_id"], r["n_words"]) for r in found} == {(3, 2, 60)}
