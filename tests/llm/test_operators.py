@@ -378,3 +378,12 @@ def test_long_runs_of_a_word_meet_past_short_ones(spark):
     rows = [(1, "so " * 7 + "it goes"), (2, "b c " + "so " * 60), (3, "d e f " + "so " * 70)]
     found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["match_doc_id"], r["n_words"]) for r in found} == {(3, 2, 60)}
+
+
+def test_scores_do_not_depend_on_what_is_broadcast(docs, monkeypatch):
+    want = {r["doc_id"]: r for r in bloom_lm.language_model(docs).collect()}
+    monkeypatch.setattr(bloom_lm, "FREQUENT_SHARE", 1_000)  # most words are rare
+    got = {r["doc_id"]: r for r in bloom_lm.language_model(docs, max_words=3).collect()}
+    assert set(got) == set(want)
+    for i, x in want.items():
+        assert got[i]["n_known"] == x["n_known"] and got[i]["score"] == pytest.approx(x["score"], rel=1e-9) and got[i]["base_score"] == pytest.approx(x["base_score"], rel=1e-9)
