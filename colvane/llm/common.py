@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``. Where that is unset, a local
+    master (tests) gets a temporary folder and any other an error: executors don't see one another's disks."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = getattr(shared_dir, "own", None)
         if not path:
             path = shared_dir.own = tempfile.mkdtemp(prefix="checkpoints-")
@@ -33,23 +37,36 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the time of a block."""
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to a table in the shared folder and reads it again: lineage is cut and lost executors cost nothing."""
+    """Writes df to a table in the shared folder and reads it again: lineage is cut and lost executors cost nothing.
+    The shuffle files of the write go when it ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # the driver's cleaner frees shuffle files of plans that are garbage
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.stored_at = path
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a table that `stored` wrote, once no later plan reads it."""
-    context = df.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `stored` wrote, once no later plan reads them."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -2,12 +2,16 @@
 
 Shingles have one global order, rare ones first (by a sketch of how many documents have them). Sets of similarity t
 share a shingle within their first n - ceil(t * n) + 1. Documents with equal sets are one class; classes with the same
-prefix and size are one group. Group pairs come from shared prefix shingles, are filtered by size and position, and are
-expanded to their members, which are verified on their whole sets.
+prefix and size are one group. Group pairs come from shared prefix shingles, are filtered by size, position and parity
+bitmaps, and are expanded to their members, which are verified on their whole texts.
+
+A set's parity bitmap has one bit flipped for each of its shingles, so two bitmaps differ in at most as many bits as the
+sets differ in shingles: too many differing bits rule a pair out for certain.
 
 Components need no pair inside what is already connected. So before the pairs are made, each prefix shingle's
-documents are tried against one of them (a star, linear in their number) and links that hold are joined up; only pairs
-of different components that share a prefix shingle are then made, all of them.
+documents are tried against one of them (a star, linear in their number; its centre is the document with most shared
+prefix shingles, the least edited of a family of copies). Links that hold are joined up. After that only documents
+outside the component of a shingle's centre are paired, with all of that shingle's documents of other components.
 """
 
 from __future__ import annotations
@@ -27,6 +31,9 @@ from colvane.llm.words import shingle_sets
 
 #: The frequency sketch has ROWS rows of CELLS counters; as sent out it takes a byte each, whatever the corpus.
 ROWS, CELLS, PARTS = 2, 1 << 23, 64
+#: Words of 64 bits of the short bitmaps that joins compare; the long ones have 1 to 2 bits a shingle.
+SHORT = 4
+SHORTS = [f"b{i}" for i in range(SHORT)]
 
 
 def cells(g: np.ndarray) -> list[np.ndarray]:
@@ -62,8 +69,23 @@ def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
     return out.ravel()
 
 
+def parity(g: np.ndarray, bits: int) -> np.ndarray:
+    """Parity bitmap of a set of hashes: bit h mod `bits` counts, mod 2, the shingles it stands for."""
+    odd = np.bincount((g & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ; the longer one is folded to the length of the other."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    n = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, whole, same, prefix): set size, hash of the set, hash of the prefix, prefix shingles in order."""
+    """(doc_id, n, whole, same, prefix, bits, b0 ..): set size, hash of the set, hash of the prefix, prefix shingles in
+    order, long and short parity bitmaps."""
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,48 +94,63 @@ def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
             g, offsets = shingle_sets(texts(t), k)
             own = np.repeat(np.arange(t.num_rows), np.diff(offsets))
             ordered = g[np.lexsort((g, np.minimum.reduce([level[c] for c in cells(g)]), own))].view(np.int64)
-            n, whole, same, prefix = np.diff(offsets).tolist(), [], [], []
+            n, whole, same, prefix, bits, short = np.diff(offsets).tolist(), [], [], [], [], []
             for a, size in zip(offsets[:-1].tolist(), n, strict=True):
-                p = ordered[a : a + (size - -(-percent * size // 100) + 1 if size else 0)]
-                whole.append(hashlib.blake2b(g[a : a + size].tobytes(), digest_size=16).digest())
+                p, mine = ordered[a : a + (size - -(-percent * size // 100) + 1 if size else 0)], g[a : a + size]
+                whole.append(hashlib.blake2b(mine.tobytes(), digest_size=16).digest())
                 same.append(int.from_bytes(hashlib.blake2b(p.tobytes(), digest_size=8).digest(), "little", signed=True))
                 prefix.append(p)
+                bits.append(parity(mine, max(64, 1 << size.bit_length())).tobytes())
+                short.append(parity(mine >> np.uint64(32), 64 * SHORT).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate(prefix) if prefix else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(n, pa.int64()), pa.array(whole, pa.binary()), pa.array(same, pa.int64()), lists], names=["doc_id", "n", "whole", "same", "prefix"])
+            cols = [t.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(n, pa.int64()), pa.array(whole, pa.binary()), pa.array(same, pa.int64()), lists, pa.array(bits, pa.binary()), *map(pa.array, np.ascontiguousarray(np.array(short).T))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "whole", "same", "prefix", "bits", *SHORTS])
 
-    return stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, whole binary, same long, prefix array<long>"), "signatures")
+    fields = "doc_id long, n long, whole binary, same long, prefix array<long>, bits binary, " + ", ".join(f"{b} long" for b in SHORTS)
+    return stored(docs.select("doc_id", "text").mapInArrow(run, fields), "signatures")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose sets have 100 * common >= percent * all."""
+def sieve(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of pairs (a, b, n, m, x, y) whose long bitmaps x and y allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
+            n, m, x, y = (t.column(c).to_pylist() for c in ("n", "m", "x", "y"))
+            keep = [differing(v, w) <= i + j - 2 * -(-percent * (i + j) // (100 + percent)) for i, j, v, w in zip(n, m, x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar(pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b) of pairs (a, b, x, y) whose texts x and y have shingle sets with 100 * common >= percent * all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for t in rebatched(batches, "x"):
+            rows = list(zip(t.column("x").to_pylist(), t.column("y").to_pylist(), strict=True))
+            new = [v for v in dict.fromkeys(v for row in rows for v in row) if v not in held]
+            g, offsets = shingle_sets(new, k)
+            sets = held | {v: g[a:b] for v, a, b in zip(new, offsets[:-1], offsets[1:], strict=True)}
             keep = []
-            for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            for x, y in rows:
+                x, y = sets[x], sets[y]
                 both = np.concatenate([x, y])
                 both.sort()
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= percent * (len(both) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(mask)
+                keep.append(bool(len(both)) and 100 * common >= percent * (len(both) - common))
+            held = {rows[-1][1]: sets[rows[-1][1]].copy()} if rows else {}  # a star's centre comes again
+            yield pa.RecordBatch.from_arrays([t.column("a").combine_chunks(), t.column("b").combine_chunks()], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def size_class(n: F.Column) -> F.Column:
-    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + 1e-9).cast("int")
-
-
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, stars: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (smallest id with the same set), n_links (classes its class links to
-    that were verified; 0 for most of a large component, whose pairs aren't all needed).
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (smallest id with the same set).
 
     Null and empty texts have no shingles and stand alone. Null doc_ids take no part: they return with a null component.
-    Repeated rows return each. An empty table gives no rows; other columns are not read. All matches are exact up to
-    64-bit shingle hashes; nothing is capped.
+    Repeated rows return each; different texts of one doc_id are one document with all their links. An empty table
+    gives no rows; other columns are not read. All matches are exact up to 64-bit shingle hashes; nothing is capped.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -121,83 +158,85 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, stars: in
     signed = signatures(docs, k, percent)
     known = signed.where("doc_id is not null and n > 0")
     # prefixes are shuffled once, by group; all else about documents and classes is narrow
-    groups = stored(known.groupBy("n", "same").agg(F.min(F.struct("doc_id", "prefix")).alias("m")).select("n", F.col("m.doc_id").alias("gid"), "m.prefix"), "groups")
+    heads = known.groupBy("n", "same").agg(F.min(F.struct("doc_id", "prefix", *SHORTS)).alias("m"), (F.min("whole") != F.max("whole")).alias("many"))
+    groups = stored(heads.select("n", F.col("m.doc_id").alias("gid"), "m.prefix", "many", *(f"m.{b}" for b in SHORTS)), "groups")
     firsts = known.groupBy("n", "same").agg(F.min("doc_id").alias("gid"))
-    classes = stored(known.groupBy("n", "whole", "same").agg(F.min("doc_id").alias("id")).join(firsts, ["n", "same"]).select("n", "whole", "id", "gid"), "classes")
-    members = classes.select("id", "gid")
+    each = known.groupBy("n", "whole", "same").agg(F.min(F.struct("doc_id", "bits", *SHORTS)).alias("m"))
+    classes = stored(each.join(firsts, ["n", "same"]).select("n", "whole", F.col("m.doc_id").alias("id"), "gid", "m.bits", *(f"m.{b}" for b in SHORTS)), "classes")
     sizes = stored(signed.select("doc_id", "n", "whole"), "sizes")
     forget(signed)
-    postings = groups.select("gid", "n", size_class(F.col("n")).alias("s"), F.posexplode("prefix").alias("p", "token"))
-    shared = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    postings = postings.join(shared, "token")
-    # sizes that differ by a quarter at most lie in the same class or in neighbours, which share one of these cells
-    spread = postings.select("token", "gid", F.explode(F.array("s", F.col("s") + 1)).alias("cell"))
-    met = spread.groupBy("token", "cell").agg(F.count("*").alias("c")).where("c > 1").select("token", "cell")
-    alive = spread.join(met, ["token", "cell"]).select("token", "gid").distinct()
-    postings = stored(postings.join(alive, ["token", "gid"], "left_semi"), "postings")
-    forget(groups)
-
-    some = postings.select("gid").distinct().join(members, "gid").select("id").union(members.where("id <> gid").select("id")).union(members.where("id <> gid").select("gid")).distinct()
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for t in rebatched(batches):
-            g, offsets = shingle_sets(texts(t), k)
-            rows = []
-            for i, (doc_id, whole) in enumerate(zip(t.column("doc_id").to_pylist(), t.column("whole").to_pylist(), strict=True)):
-                raw = g[offsets[i] : offsets[i + 1]].tobytes()
-                if doc_id != last and hashlib.blake2b(raw, digest_size=16).digest() == whole:  # another text of the same doc_id is another class
-                    rows.append((doc_id, raw))
-                    last = doc_id
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "set"])
 
-    wanted = classes.join(some, "id", "left_semi").select(F.col("id").alias("doc_id"), "whole")
-    sets = stored(docs.join(wanted, "doc_id").select("doc_id", "text", "whole").mapInArrow(sets_of, "id long, set binary"), "sets")
+    # postings of shingles that some pair can share in reach: of two sets the smaller has it early
+    postings = groups.select("gid", "n", F.posexplode("prefix").alias("p", "token"))
+    early = F.expr(f"p <= n - ceil({2 * percent} * n / {100 + percent}.0 - 1e-9)")
+    shared = postings.groupBy("token").agg(F.count("*").alias("c"), F.max(early).alias("some")).where("c > 1 and some").select("token")
+    met = stored(postings.join(shared, "token"), "met")
+    about = met.groupBy("gid").agg(F.count("*").alias("w")).join(groups.select("gid", "many", *SHORTS), "gid")
+    postings = stored(met.join(about, "gid"), "postings")
+    forget(met, groups)
+
+    loose = classes.where("id <> gid")
+    some = postings.select("gid").union(loose.select("id")).union(loose.select("gid")).distinct().withColumnRenamed("gid", "doc_id")
+    body = docs.join(some, "doc_id").groupBy(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")).select("id", "text")
+    body = stored(body, "bodies")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Links among pairs (a, b), stored."""
+        one, two = (classes.select(F.col("id").alias(i), F.col("n").alias(n), F.col("bits").alias(x)) for i, n, x in (("a", "n", "x"), ("b", "m", "y")))
+        left = sieve(pairs.join(one, "a").join(two, "b"), percent)
+        x, y = body.select(F.col("id").alias("a"), F.col("text").alias("x")), body.select(F.col("id").alias("b"), F.col("text").alias("y"))
+        return stored(similar(left.join(x, "a").join(y, "b"), k, percent).distinct(), "links")
+
+    need = f"ceil({percent} * (n + n2) / {100 + percent}.0 - 1e-9)"
+    differ = " + ".join(f"bit_count({b} ^ {b}2)" for b in SHORTS)
+    sized = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
+    placed, alike = f"least(n - p, n2 - p2) >= {need}", f"{differ} <= n + n2 - 2 * {need}"
+    columns = ["gid", "n", "p", *SHORTS]
+    second = lambda names: [F.col(c).alias(f"{c}2") for c in names]
+    ends = [F.least("gid", "gid2").alias("a"), F.greatest("gid", "gid2").alias("b")]
 
     # members of a group against its first one: a star inside the group
-    links = stored(similar(members.where("id <> gid").select(F.col("id").alias("a"), F.col("gid").alias("b")), sets, percent), "links")
+    links = verified(loose.select(F.col("id").alias("a"), F.col("gid").alias("b")))
+    done = [links]
     label = components(links)
 
-    def labelled(df: DataFrame, key: str, name: str) -> DataFrame:
-        return df.join(label.select(F.col("id").alias(key), F.col("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
-
-    tried = None
-    for turn in range(stars):
-        at = labelled(postings, "gid", "c")
-        centre = F.min(F.struct(F.xxhash64(F.lit(turn), "gid"), F.col("gid").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"))).alias("m")
-        middle = at.groupBy("token", "s").agg(centre).select("token", F.explode(F.array(F.col("s"), F.col("s") - 1)).alias("s"), "m.b", "m.bn", "m.bc")
-        pairs = at.join(middle, ["token", "s"]).where("c <> bc and 100 * least(n, bn) >= %d * greatest(n, bn)" % percent)
-        pairs = pairs.select(F.least("gid", "b").alias("a"), F.greatest("gid", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        links = links.union(stored(similar(pairs, sets, percent), "links"))
-        label = components(links)
-
-    # group pairs that share a prefix shingle and are not yet one component, expanded to their members
-    at = labelled(members, "id", "c").groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    at = postings.join(at, "gid")
-    mixed_tokens = at.groupBy("token").agg(F.min("low").alias("x"), F.max("high").alias("y")).where("x <> y").select("token")
-    at = at.join(mixed_tokens, "token")
-    other = at.select("token", *(F.col(c).alias(f"{c}2") for c in ("gid", "n", "s", "p", "low", "high")))
-    near = at.select("*", F.explode(F.array(F.col("s"), F.col("s") + 1)).alias("s2")).join(other, ["token", "s2"])
-    need = f"ceil({percent} * (n + n2) / {100 + percent}.0 - 1e-9)"
-    near = near.where(f"(s < s2 or gid < gid2) and not (low = high and low2 = high2 and low = low2) and 100 * least(n, n2) >= {percent} * greatest(n, n2) and 1 + least(n - p, n2 - p2) - 1 >= {need}")
-    group_pairs = near.select(F.least("gid", "gid2").alias("g"), F.greatest("gid", "gid2").alias("h")).distinct()
-    inside = members.groupBy("gid").agg(F.count("*").alias("c")).where("c > 1").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
-    group_pairs = group_pairs.union(inside)
-    own = labelled(members, "id", "c")
-    pairs = group_pairs.join(own.select(F.col("gid").alias("g"), F.col("id").alias("a"), F.col("c").alias("ca")), "g").join(own.select(F.col("gid").alias("h"), F.col("id").alias("b"), F.col("c").alias("cb")), "h")
-    pairs = pairs.where("a <> b and ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    last = stored(similar(stored(pairs, "pairs"), sets, percent), "links")
-    links = links.union(last)
+    def labelled(df: DataFrame) -> DataFrame:
+        """Adds the least and the greatest component of each group's members."""
+        own = classes.select("gid", "id").join(label, "id").groupBy("gid")
+        own = own.agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"))
+        all_of = classes.groupBy("gid").agg(F.count("*").alias("classes"))
+        # members without a link are components of their own, with ids of at least gid
+        own = own.join(all_of, "gid").select("gid", F.when(F.col("c") == F.col("classes"), F.col("low")).otherwise(F.least("low", "gid")).alias("low"), F.when(F.col("c") == F.col("classes"), F.col("high")).otherwise(F.lit((1 << 63) - 1)).alias("high"))
+        single = F.when(F.col("many"), F.lit((1 << 63) - 1)).otherwise(F.col("gid"))
+        return df.join(own, "gid", "left").withColumn("low", F.coalesce("low", "gid")).withColumn("high", F.coalesce("high", single))
+
+    centre = F.max(F.struct("w", F.xxhash64("gid").alias("h"), *columns)).alias("m")
+    centres = stored(postings.groupBy("token").agg(centre).select("token", *(F.col(f"m.{c}").alias(f"{c}2") for c in columns)), "centres")
+    stars = postings.join(centres, "token").where(f"gid <> gid2 and {sized} and {placed} and {alike}").select(ends).distinct()
+    done.append(verified(stars))
+    links = links.union(done[-1])
+    forget(label)
+    label = components(links)
+
+    # what is not in the component of a shingle's centre, with that shingle's groups of other components
+    at = stored(labelled(postings), "at")
+    hub = at.select("token", "gid", "low", "high").join(centres.select("token", F.col("gid2").alias("gid")), ["token", "gid"]).select("token", F.col("low").alias("hub_low"), F.col("high").alias("hub_high"))
+    outside = stored(at.join(hub, "token").where("not (low = high and hub_low = hub_high and low = hub_low)").drop("hub_low", "hub_high"), "outside")
+    other = at.select("token", *second([*columns, "low", "high", "many"]))
+    apart = "not (low = high and low2 = high2 and low = low2)"
+    near = outside.join(other, "token").where(f"gid <> gid2 and {apart} and {sized} and {placed} and (many or many2 or {alike})").select(ends).distinct()
+    both = near.select(F.col("a").alias("g"), F.col("b").alias("h"))
+    split = labelled(classes.select("gid").distinct().withColumn("many", F.lit(True))).join(loose.select("gid").distinct(), "gid", "left_semi").where("low <> high").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
+    own = classes.select("id", "gid", "n", *SHORTS).join(label, "id", "left").select("id", "gid", "n", *SHORTS, F.coalesce("component", "id").alias("c"))
+    mine, yours = own.withColumnRenamed("gid", "g"), own.select(F.col("gid").alias("h"), *second(["id", "n", "c", *SHORTS]))
+    pairs = both.union(split).join(mine, "g").join(yours, "h").where(f"id <> id2 and c <> c2 and {sized} and {alike}")
+    last = verified(pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
+    done.append(last)
     if not last.isEmpty():
-        label = components(links)
-    counts = links.select("a", "b").union(links.select("b", "a")).distinct().groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links"))
-    done = classes.select("n", "whole", "id").join(label, "id", "left").join(counts, "id", "left").select("n", "whole", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = sizes.join(done, ["n", "whole"], "left")
+        forget(label)
+        label = components(links.union(last))
+    forget(*done, centres, at, outside, postings, body)
+    named = classes.select("n", "whole", "id").join(label, "id", "left").select("n", "whole", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component"))
+    out = sizes.join(named, ["n", "whole"], "left")
     alone = F.col("doc_id").isNull() | F.col("component").isNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))

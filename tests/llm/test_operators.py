@@ -185,7 +185,8 @@ def links_by_force(made, percent=80):
     return sets, {i: find(i) for i in made}
 
 
-def test_jaccard(spark, docs, odd, none):
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_jaccard(spark, docs, odd, none, percent):
     rng = np.random.default_rng(5)
     near = []
     for i in range(60):  # a chain of copies, each with one more change
@@ -193,14 +194,20 @@ def test_jaccard(spark, docs, odd, none):
         for j in rng.choice(100, int(rng.integers(0, 5)), replace=False):
             w[j] = f"u{rng.integers(50)}"
         near.append((1000 + i, " ".join(w)))
+    near.append((2000, " ".join(f"z{j}" for j in range(104))))
+    near.append((2001, " ".join(f"z{j}" for j in range(60))))
+    for i in range(40):  # equal prefixes or sizes, different rests
+        w = [f"c{j}" for j in range(40)] + [f"d{rng.integers(4)}_{j // 20}" for j in range(60)]
+        near.append((3000 + i, " ".join(w)))
     near = spark.createDataFrame(near, "doc_id long, text string")
-    for df in (docs.select("doc_id", "text"), near, odd.where("doc_id is not null and doc_id <> 4").select("doc_id", "text")):
+    for df in (near, docs.select("doc_id", "text"), odd.where("doc_id is not null and doc_id <> 4").select("doc_id", "text"))[: 3 if percent == 80 else 1]:
         made = texts_of(df)
-        sets, want = links_by_force(made)
-        r = jaccard.jaccard_components(df).toPandas().set_index("doc_id")
+        sets, want = links_by_force(made, percent)
+        r = jaccard.jaccard_components(df, 5, percent).toPandas().set_index("doc_id")
         assert {i: r.loc[i].n_shingles for i in made} == {i: len(s) for i, s in sets.items()}
         assert {i: r.loc[i].component_id for i in made} == want
-    assert jaccard.jaccard_components(odd).count() == 13 and jaccard.jaccard_components(none).count() == 0
+    if percent == 80:
+        assert jaccard.jaccard_components(odd).count() == 13 and jaccard.jaccard_components(none).count() == 0
 
 
 def test_passages(docs, odd, none):
