@@ -103,22 +103,29 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def dealt_in_order(df: DataFrame, key: str, n: int, as_name: str) -> tuple[DataFrame, int]:
-    """Adds the ordered bucket of `key` (0 .. n-1; nulls last) from quantiles of that one column over all rows."""
-    row = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000).alias("q")).first()
+def ordered_bounds(df: DataFrame, key: str, n: int) -> tuple[np.ndarray, int]:
+    """Quantiles of one column over all rows, which cut it into ordered buckets, and the number of buckets for rows
+    without it: none, or as many as for the others."""
+    quantiles = F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000)
+    row = df.agg(quantiles.alias("q"), (F.count("*") > F.count(key)).alias("some")).first()
     bounds = np.unique(np.array(row["q"] or [], dtype=np.int64))
+    return bounds, len(bounds) + 1 if row["some"] else 0
+
+
+def bucket_of(bounds: np.ndarray, keys: pa.Array) -> np.ndarray:
+    """The bucket (0 .. len(bounds)) of each key; any for nulls."""
+    return np.searchsorted(bounds, np.asarray(keys.fill_null(0), dtype=np.int64), side="left").astype(np.int32)
+
+
+def dealt_in_order(df: DataFrame, key: str, n: int, as_name: str) -> tuple[DataFrame, int, int]:
+    """Adds the ordered bucket of `key`; the numbers of buckets with and without it."""
+    bounds, nameless = ordered_bounds(df, key, n)
 
     @F.pandas_udf("int")
     def bucket(x: pd.Series) -> pd.Series:
-        v = x.to_numpy(dtype="float64", na_value=np.nan) if x.isna().any() else None
-        if v is None:
-            return pd.Series(np.searchsorted(bounds, x.to_numpy(dtype=np.int64), side="left").astype(np.int32))
-        ok = ~np.isnan(v)
-        out = np.full(len(v), len(bounds), dtype=np.int32)
-        out[ok] = np.searchsorted(bounds, x[ok].to_numpy(dtype=np.int64), side="left")
-        return pd.Series(out)
-
-    return df.withColumn(as_name, bucket(F.col(key))), len(bounds) + 1
+        return pd.Series(bucket_of(bounds, pa.Array.from_pandas(x, pa.int64())))
+
+    return df.withColumn(as_name, bucket(F.col(key))), len(bounds) + 1, nameless
 
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

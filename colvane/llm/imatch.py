@@ -1,8 +1,8 @@
 """I-Match document fingerprints.
 
-Terms whose share of documents lies in a band make the lexicon. A fingerprint has one hash for each of several
-randomised subsets of the lexicon: the hash of the document's sorted distinct terms in that subset. Subsets of falling
-density let both short and long documents keep hashes after edits.
+Terms whose share of documents lies in a band make the lexicon. A fingerprint has one 64-bit hash for each of several
+randomised subsets of the lexicon: the hash of the sequence of the document's distinct terms in that subset, sorted in
+the lexicon's order. Subsets of falling density let both short and long documents keep hashes after edits.
 """
 
 from __future__ import annotations
@@ -15,20 +15,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colvane.llm.common import dealt_in_order, mixed, partitions, rebatched, small_batches, texts
 from colvane.llm.tokens import CACHE
 
 #: The band: terms in at least this share and at most that share of documents, inverse document frequencies 9.7 to 3.0.
-#: A term of the band takes LEAST of the documents, so their number is at most the mean distinct terms of a document / LEAST.
+#: A term of the band takes LEAST of the documents, so their number is at most the mean distinct terms of a document / LEAST:
+#: with 250 of them 4 million terms, 32 MB broadcast as hashes and 32 MB more in a worker for their subsets.
 LEAST, MOST = 2.0**-14, 0.05
-#: Subsets: SETS for each density 1, 1/2, 1/4 and so on; each has a hash of four hexadecimal digits, 0000 if it has no term.
-DENSITIES, SETS = 12, 8
+#: Subsets: SETS for each density 1, 1/2, 1/4 and so on; each has a hash of 16 hexadecimal digits, zeros if it has no term.
+DENSITIES, SETS = 12, 5
 SLOTS = DENSITIES * SETS
 #: Likeness looks at so many of the sparsest subsets that either document has terms in.
-COMPARED = 32
+COMPARED = 20
 TERM = re.compile(r"\w+")
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -46,10 +47,13 @@ def membership(h: np.ndarray) -> np.ndarray:
 
 
 def subset_hashes(h: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """The hash of each subset's terms: sums of spread hashes, the same for the same distinct terms; 0 without terms."""
-    with np.errstate(over="ignore"):
-        total = mixed(inside.T.astype(np.uint64) @ mixed(h, 5), 6)
-    return np.where(inside.any(axis=0), total % np.uint64(65535) + np.uint64(1), np.uint64(0)).astype(np.uint16)
+    """The hash of each subset's terms, one after another in the order of h; 0 without terms."""
+    slot, term = np.nonzero(inside.T)
+    ends, raw, out = np.searchsorted(slot, np.arange(SLOTS + 1)).tolist(), memoryview(h[term].tobytes()), np.zeros(SLOTS, np.uint64)
+    for j, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+        if b > a:
+            out[j] = xxhash.xxh64_intdigest(raw[8 * a : 8 * b]) or 1
+    return out
 
 
 @dataclass
@@ -85,7 +89,7 @@ class Lexicon:
         """A hash for each subset. With no term in the band all the text's terms count; with no terms, the text itself."""
         terms = set(TERM.findall(text.lower()))
         if not terms:
-            return np.full(SLOTS, xxhash.xxh64_intdigest(text) % 65535 + 1, np.uint16)
+            return np.full(SLOTS, xxhash.xxh64_intdigest(text) or 1, np.uint64)
         if self.bits is None:
             self.bits = np.concatenate([np.packbits(membership(x), axis=1) for x in np.array_split(self.hashes, len(self.hashes) // 50_000 + 1)])
         at = self.places(terms)
@@ -96,7 +100,7 @@ class Lexicon:
 
 
 def as_text(f: np.ndarray) -> str:
-    return f.astype(">u2").tobytes().hex()
+    return f.astype(">u8").tobytes().hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -145,32 +149,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text; the next document is the one of next smaller doc_id, after the last the first.
 
     Documents are dealt into ordered buckets with one shuffle; the first document of each bucket is dealt to the bucket
-    before as well, so neighbours meet without one task seeing all. Null texts are empty. Null doc_ids come last; rows
-    of one doc_id are ordered by text. A lone document follows itself; an empty table gives no rows.
+    before as well, so neighbours meet without one task seeing all. Null texts are empty. Null doc_ids come last, in
+    buckets of their own; rows of one doc_id, or of none, are ordered by the hash of their text, then by the text. A
+    lone document follows itself; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sent = spark.sparkContext.broadcast(lexicon(docs))
-    dealt, used = dealt_in_order(docs, "doc_id", partitions(spark), "up")
-    # descending order: the bucket of null ids comes last
-    place = F.when(F.col("doc_id").isNull(), F.lit(used)).otherwise(used - 1 - F.least("up", F.lit(used - 1))).cast("int")
-    dealt = dealt.select("doc_id", "text", place.alias("bucket"))
-    heads = dealt.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).orderBy("bucket").collect()  # one row a bucket
-    first_of = {r["bucket"]: r["doc_id"] for r in heads}
-    order = sorted(first_of)
-    before = {b: order[i - 1] for i, b in enumerate(order)}  # the first bucket's head also ends the last bucket
-
-    def extra(bucket: Column, doc_id: Column) -> Column:
-        known = F.create_map(*[x for b in order for x in (F.lit(b), F.struct(F.lit(first_of[b]).cast("long").alias("head"), F.lit(before[b]).alias("to")))]) if order else None
-        if known is None:
-            return F.array(bucket)
-        mine = F.element_at(known, bucket)
-        return F.when(mine["head"].eqNullSafe(doc_id), F.array(bucket, -1 - mine["to"])).otherwise(F.array(bucket))
-
-    copies = dealt.select("doc_id", "text", F.explode(extra(F.col("bucket"), F.col("doc_id"))).alias("b"))
-    copies = copies.select("doc_id", "text", (F.col("b") < 0).alias("ahead"), F.when(F.col("b") < 0, -1 - F.col("b")).otherwise(F.col("b")).alias("bucket"))
-    ordered = copies.repartitionById(used + 1, F.col("bucket")).sortWithinPartitions("ahead", F.col("doc_id").desc_nulls_last(), "text")
+    dealt, used, nameless = dealt_in_order(docs, "doc_id", partitions(spark), "up")
+    h = F.xxhash64("text").alias("h")
+    # descending order of ids; then the buckets of null ids, by ranges of the hash
+    share = F.floor((F.col("h") / 2.0**64 + 0.5) * nameless)
+    place = F.when(F.col("doc_id").isNull(), used + F.least(share, F.lit(max(nameless - 1, 0)))).otherwise(used - 1 - F.least("up", F.lit(used - 1))).cast("int")
+    dealt = dealt.select("doc_id", "text", "up", h).select("doc_id", "text", "h", place.alias("bucket"))
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.bitwise_not("doc_id"), "h")
+    heads = sorted((r["bucket"], r["m"]["id"], r["m"]["h"]) for r in dealt.groupBy("bucket").agg(F.min_by(F.struct(F.col("doc_id").alias("id"), "h"), key).alias("m")).collect())  # one row a bucket
+    # a bucket's head goes to the bucket before, the first one's to the last
+    ahead = spark.createDataFrame([(b, i, x, heads[k - 1][0]) for k, (b, i, x) in enumerate(heads)], "bucket int, head long, head_h long, to int")
+    mine = F.col("head").eqNullSafe(F.col("doc_id")) & (F.col("head_h") == F.col("h"))
+    copies = dealt.join(F.broadcast(ahead), "bucket").select("doc_id", "text", "h", F.explode(F.when(mine, F.array("bucket", -1 - F.col("to"))).otherwise(F.array("bucket"))).alias("b"))
+    copies = copies.select("doc_id", "text", "h", (F.col("b") < 0).alias("ahead"), F.when(F.col("b") < 0, -1 - F.col("b")).otherwise(F.col("b")).alias("bucket"))
+    ordered = copies.repartitionById(used + nameless, F.col("bucket")).sortWithinPartitions("ahead", F.col("doc_id").desc_nulls_last(), "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = sent.value

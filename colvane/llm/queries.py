@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from colvane.llm import bloom_lm, bpe, dac, imatch, jaccard, packing, passages, quality, search, toxicity
 from colvane.llm.common import table
@@ -20,7 +19,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 3, 1)
-    return found.select("doc_id", "held_out", "score", "predicted", F.size("offending").alias("n_offending"))
+    return found.select("doc_id", "held_out", "score", "predicted", "offending")
 
 
 def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

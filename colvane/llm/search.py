@@ -1,10 +1,14 @@
-"""Nearest neighbours by stable projections in a kd-tree.
+"""Nearest neighbours by stable projections in kd-trees.
 
 Vectors get one more component, so that the largest inner product becomes the smallest distance, and are projected to
 a few dimensions with Gaussian numbers. For a projected distance d' of vectors at distance d, (d' / d)^2 has a
-chi-square distribution. Each block of vectors has a kd-tree over its projections. A query takes leaves in ascending
-bounds and points in ascending projected distance, verifies them exactly, and stops when the chi-square distribution
-says that a better vector would by now have been seen with the asked probability.
+chi-square distribution.
+
+A coarse kd-tree over the projections deals all vectors to cells, each once; a block is a cell, or a part of a cell that
+very many equal vectors share. Each block has its own kd-tree. A query first searches blocks of the cells nearest to it.
+Its k-th best distance then bounds the blocks it must visit besides: those whose cell the chi-square test can't exclude. Inside a
+block it takes leaves in ascending bounds and points in ascending projected distance, verifies them exactly, and stops
+when the chi-square distribution says that a better vector would by now have been seen with the asked probability.
 """
 
 from __future__ import annotations
@@ -14,13 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colvane.llm.common import small_batches, stored
 
-#: Projected dimensions (even), points of a leaf, vectors of a block, queries of a block, and the stopping probability.
-PROJECTED, LEAF, BLOCK, QUERIES, SURE = 12, 128, 16_384, 2_048, 0.98
+#: Projected dimensions (even), points of a leaf, vectors of a block, and the stopping probability.
+PROJECTED, LEAF, BLOCK, SURE = 12, 128, 16_384, 0.98
+#: Vectors that the coarse tree is fitted on, and the most cells it has. All vectors are dealt by it.
+SAMPLE, MOST_CELLS = 32_768, 4_096
+#: Cells that a query searches first.
+HOMES = 4
 
 
 def chi_square(x: np.ndarray, m: int = PROJECTED) -> np.ndarray:
@@ -65,43 +73,89 @@ class KdTree:
         return (gap * gap).sum(axis=1)
 
 
+class Cells:
+    """A coarse kd-tree: halves the widest dimension of a sample until there are so many cells, which fill all space."""
+
+    def __init__(self, points: np.ndarray, cells: int):
+        m = points.shape[1]
+        self.low, self.high = np.full((1, m), -np.inf), np.full((1, m), np.inf)
+        self.splits: list[tuple[int, int, float, int]] = []  # cell, axis, value, the new cell of what lies above
+        waiting = [(0, np.arange(len(points)))]
+        while waiting and len(self.low) < cells:
+            waiting.sort(key=lambda x: -len(x[1]))
+            cell, own = waiting.pop(0)
+            if len(own) < 2:
+                break
+            p = points[own]
+            axis = int((p.max(axis=0) - p.min(axis=0)).argmax())
+            value = float(np.median(p[:, axis]))
+            above = p[:, axis] > value
+            if not above.any() or above.all():  # equal points
+                continue
+            new = len(self.low)
+            self.low, self.high = np.vstack([self.low, self.low[cell]]), np.vstack([self.high, self.high[cell]])
+            self.high[cell, axis] = self.low[new, axis] = value
+            self.splits.append((cell, axis, value, new))
+            waiting += [(cell, own[~above]), (new, own[above])]
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(points), np.int32)
+        for cell, axis, value, new in self.splits:
+            out[(out == cell) & (points[:, axis] > value)] = new
+        return out
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """The smallest squared distance of q to each cell."""
+        gap = np.maximum(self.low - q, 0) + np.maximum(q - self.high, 0)
+        return (gap * gap).sum(axis=1)
+
+
+def basis(d: int) -> np.ndarray:
+    return np.random.default_rng(d).normal(size=(d + 1, PROJECTED))
+
+
+def projected(vectors: np.ndarray, longest: float) -> np.ndarray:
+    """Vectors with the component that makes them all `longest` long, projected."""
+    b = basis(vectors.shape[1])
+    extra = np.sqrt(np.maximum(longest * longest - (vectors * vectors).sum(axis=1), 0))
+    return vectors @ b[:-1] + extra[:, None] * b[-1]
+
+
+def target(q: np.ndarray, longest: float) -> np.ndarray:
+    """A query scaled to the longest length, which keeps the order of inner products, projected; distances are then
+    2 * longest^2 - 2 * (scaled product)."""
+    return q * (longest / math.sqrt(float(q @ q))) @ basis(len(q))[:-1]
+
+
 class Block:
     """Vectors of a block with their projections and tree."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float):
         self.ids, self.vectors, self.longest = ids, vectors, longest
-        d = vectors.shape[1]
-        self.basis = np.random.default_rng(d).normal(size=(d + 1, PROJECTED))
-        extra = np.sqrt(np.maximum(longest * longest - (vectors * vectors).sum(axis=1), 0))
-        self.points = vectors @ self.basis[:-1] + extra[:, None] * self.basis[-1]
+        self.points = projected(vectors, longest)
         self.tree = KdTree(self.points)
 
-    def nearest(self, query_id: int, q: np.ndarray, k: int, stop: float) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) of the k best found; `stop` is the chi-square quantile of the asked probability.
-
-        The query is scaled to the longest length, which keeps the order of inner products, so that distances are
-        2 * longest^2 - 2 * (scaled product).
-        """
-        length = math.sqrt(float(q @ q))
-        scaled = q * (self.longest / length)
-        target = scaled @ self.basis[:-1]
-        bound = self.tree.bounds(target)
+    def nearest(self, query_id: int, q: np.ndarray, k: int, stop: float, far: float = math.inf) -> tuple[np.ndarray, np.ndarray, float]:
+        """(rows, scores) of the k best found, and the distance of the k-th; `stop` is the chi-square quantile of the
+        asked probability, `far` a distance within which k are known already."""
+        length, goal = math.sqrt(float(q @ q)), target(q, self.longest)
+        bound = self.tree.bounds(goal)
         order = np.argsort(bound)
-        rows, scores, k_far = np.zeros(0, np.int64), np.zeros(0), math.inf
+        rows, scores = np.zeros(0, np.int64), np.zeros(0)
         at, step = 0, 4
-        while at < len(order) and bound[order[at]] <= stop * k_far:
+        while at < len(order) and bound[order[at]] <= stop * far:
             own = np.concatenate([self.tree.leaves[i] for i in order[at : at + step]])
-            p = self.points[own] - target
-            own = own[((p * p).sum(axis=1) <= stop * k_far) & (self.ids[own] != query_id)]
+            p = self.points[own] - goal
+            own = own[((p * p).sum(axis=1) <= stop * far) & (self.ids[own] != query_id)]
             rows, scores = np.concatenate([rows, own]), np.concatenate([scores, self.vectors[own] @ q])
             if len(rows) > k:
                 best = np.lexsort((self.ids[rows], -scores))[:k]
                 rows, scores = rows[best], scores[best]
             if len(rows) == k:
-                k_far = max(0.0, 2 * self.longest**2 - 2 * float(scores[-1]) * self.longest / length)
+                far = min(far, max(0.0, 2 * self.longest**2 - 2 * float(scores.min()) * self.longest / length))
             at += step
             step = min(2 * step, 64)
-        return rows, scores
+        return rows, scores, far
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -111,48 +165,121 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & v.isNotNull()).where((F.size(v) > 0) & F.coalesce(fine, F.lit(False))).where(F.exists(v, lambda x: x != 0)).select("vec_id", F.transform(v, lambda x: x.cast("double")).alias("v"))
 
 
+def by_length(t: pa.Table | pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) of the vectors of each length in a batch."""
+    lists = t.column("v")
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    flat, offsets = lists.values.to_numpy(zero_copy_only=False), np.asarray(lists.offsets)
+    size = np.diff(offsets)
+    for d in np.unique(size).tolist():
+        rows = np.flatnonzero(size == d)
+        yield rows, flat[offsets[rows][:, None] + np.arange(d)]
+
+
 def nearest(vectors: DataFrame, modulus: int = 20, k: int = 20, sure: float = SURE) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (vec_id divisible by `modulus`) the k largest inner products found.
 
     Vectors null, zero or with null or non-finite components take no part; vectors of other lengths are met only by
-    queries of their own length; repeated rows of an id count once (the largest vector); fewer candidates than k are
-    all returned; ties go to the smaller vec_id. All vectors are indexed, in blocks of bounded size dealt by a hash of the id; queries meet them in
-    blocks too, so that a task holds one block of each. Queries visit every block: the stopping test saves work inside.
+    queries of their own length. Every row of another id is a candidate, so repeated rows return each; a repeated query
+    id asks once, with its largest vector. Fewer candidates than k are all returned; ties go to the smaller vec_id. An
+    empty table gives no rows; other columns are not read.
+
+    Every vector is shuffled twice, to its one block, and a query to the blocks it visits; a task holds one block and
+    takes queries one after another.
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    own = stored(usable(vectors).groupBy("vec_id").agg(F.max("v").alias("v")), "vectors")
+    own = stored(usable(vectors), "vectors")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     sizes = own.agg(F.count("*").alias("n"), F.coalesce(F.max(norm), F.lit(1.0)).alias("longest")).first()
-    n, longest = sizes["n"], sizes["longest"] * (1 + 1e-12)
-    blocks, groups = max(1, -(-n // BLOCK)), max(1, -(-(n // modulus + 1) // QUERIES))
-    stop = chi_square_quantile(sure)
-    side = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block")
-    group = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(groups)).cast("int").alias("grp")
-    data = own.select(side, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(False).alias("query"), "vec_id", "v")
-    asks = own.where(F.col("vec_id") % modulus == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), group, F.lit(True).alias("query"), "vec_id", "v")
-    both = data.select("block", "grp", "query", "vec_id", "v").union(asks.select("block", "grp", "query", "vec_id", "v"))
-    cells = blocks * groups
-    dealt = both.withColumn("cell", F.col("block") * groups + F.col("grp")).repartitionById(cells, F.col("cell"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if t is None:
-            return
-        asked = np.asarray(t.column("query").combine_chunks().to_numpy(zero_copy_only=False), bool)
-        lists = t.column("v").combine_chunks()
-        flat, offsets = lists.values.to_numpy(), np.asarray(lists.offsets)
-        ids, size = t.column("vec_id").to_numpy(), np.diff(offsets)
-        for d in np.unique(size[asked]).tolist():
-            some, ask = np.flatnonzero((size == d) & ~asked), np.flatnonzero((size == d) & asked)
-            if not len(some):
+    n, longest, stop = sizes["n"], sizes["longest"] * (1 + 1e-12), chi_square_quantile(sure)
+
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, m in by_length(b):
+                yield pa.RecordBatch.from_arrays([pa.array(list(projected(m, longest)), pa.list_(pa.float64()))], names=["p"])
+
+    some = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).mapInArrow(points, "p array<double>").toArrow() if n > BLOCK else None
+    cells = Cells(np.array(some.column("p").to_pylist()).reshape(-1, PROJECTED) if some else np.zeros((0, PROJECTED)), min(MOST_CELLS, -(-n // BLOCK)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = np.zeros(b.num_rows, np.int32)
+            for rows, m in by_length(b):
+                cell[rows] = cells.of(projected(m, longest))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), *b.columns], names=["cell", *b.schema.names])
+
+    dealt = stored(own.mapInArrow(deal, "cell int, vec_id long, v array<double>"), "dealt")
+    full = {r["cell"]: -(-r["n"] // BLOCK) for r in dealt.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most MOST_CELLS rows
+    parts = np.array([full.get(i, 0) for i in range(len(cells.low))])
+    first = np.cumsum(parts) - parts
+    blocks = max(int(parts.sum()), 1)
+    sent = spark.sparkContext.broadcast((cells, first, parts))
+    table = spark.createDataFrame([(i, int(a), int(m)) for i, (a, m) in enumerate(zip(first, parts, strict=True))], "cell int, first int, parts int")
+    placed = dealt.join(F.broadcast(table), "cell").select((F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), F.greatest("parts", F.lit(1))).cast("int")).alias("block"), F.lit(False).alias("query"), "vec_id", "v", F.lit(None).cast("double").alias("far"))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(block, ...) for each block a query visits: first those of the nearest cells; with `far`, the others in reach."""
+        cells, first, parts = sent.value
+        used = np.flatnonzero(parts)
+        for b in batches:
+            later, far = "far" in b.schema.names, None
+            if later:
+                far = b.column("far").to_numpy(zero_copy_only=False)
+            row, block = [], []
+            for rows, m in by_length(b):
+                for i, q in zip(rows.tolist(), m, strict=True):
+                    bound = cells.bounds(target(q, longest))
+                    home = used[np.argsort(bound[used], kind="stable")[:HOMES]]
+                    to = first[home].tolist()
+                    if later:
+                        near = used if np.isnan(far[i]) else used[bound[used] <= stop * far[i]]
+                        at_home = set(to)
+                        to = [x for c in near.tolist() for x in range(first[c], first[c] + parts[c]) if x not in at_home]
+                    row += [i] * len(to)
+                    block += to
+            made = b.select(["vec_id", "v"]).take(pa.array(row, pa.int64()))
+            limit = b.column("far").take(pa.array(row, pa.int64())) if later else pa.nulls(len(row), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *made.columns, limit], names=["block", "vec_id", "v", "far"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors of a partition's block come first, then queries."""
+        held, made = [], None
+        for b in batches:
+            asked = np.asarray(b.column("query").to_numpy(zero_copy_only=False), bool)
+            if not asked.all():
+                held.append(b.filter(pa.array(~asked)))
+            if not asked.any():
                 continue
-            block = Block(ids[some], flat[offsets[some][:, None] + np.arange(d)], longest)
-            for i in ask.tolist():
-                rows, scores = block.nearest(int(ids[i]), flat[offsets[i] : offsets[i] + d], k, stop)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), ids[i])), pa.array(block.ids[rows]), pa.array(scores)], names=["query_id", "vec_id", "score"])
-
-    found = dealt.select("query", "vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score double")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))), 1, k)
-    top = found.groupBy("query_id").agg(best.alias("best"))
-    return top.select("query_id", F.posexplode("best").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+            if made is None:
+                made = {}
+                t = pa.Table.from_batches(held).combine_chunks() if held else None
+                for rows, m in by_length(t) if t is not None else ():
+                    made[m.shape[1]] = Block(t.column("vec_id").to_numpy()[rows], m, longest)
+            b = b.filter(pa.array(asked))
+            ids, far, out = b.column("vec_id").to_numpy(), b.column("far").to_numpy(zero_copy_only=False), []
+            for rows, m in by_length(b):
+                block = made.get(m.shape[1])
+                for i, q in zip(rows.tolist(), m, strict=True) if block else ():
+                    found, scores, _ = block.nearest(int(ids[i]), q, k, stop, math.inf if np.isnan(far[i]) else float(far[i]))
+                    out.append((np.full(len(found), ids[i]), block.ids[found], scores))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
+    def searched(asks: DataFrame) -> DataFrame:
+        visits = asks.mapInArrow(route, "block int, vec_id long, v array<double>, far double").withColumn("query", F.lit(True))
+        both = placed.unionByName(visits).repartitionById(blocks, F.col("block")).sortWithinPartitions("query")
+        return both.mapInArrow(search, "query_id long, vec_id long, score double")
+
+    def best(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    asks = own.where(F.col("vec_id") % modulus == 0).groupBy("vec_id").agg(F.max("v").alias("v"))
+    if blocks == 1:
+        return best(searched(asks)).select("query_id", "rank", "vec_id", "score")
+    home = stored(best(searched(asks)).drop("rank"), "home")
+    known = home.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").alias("s"))
+    far = F.when(F.col("n") >= k, F.greatest(F.lit(0.0), 2 * longest**2 - 2 * longest * F.col("s") / norm))
+    rest = searched(asks.join(known, "vec_id", "left").select("vec_id", "v", far.alias("far")))
+    return best(home.union(rest)).select("query_id", "rank", "vec_id", "score")

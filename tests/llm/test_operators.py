@@ -97,6 +97,42 @@ def test_fingerprints(docs, odd, none):
     assert imatch.fingerprints(odd).count() == 13 and imatch.fingerprints(none).count() == 0
 
 
+def test_fingerprints_by_force(docs):
+    """Lexicon, subsets and likeness again, from whole sets of terms."""
+    made = texts_of(docs)
+    terms = {i: set(re.findall(r"\w+", t.lower())) for i, t in made.items()}
+    n = Counter(w for ws in terms.values() for w in ws)
+    band = {w for w, k in n.items() if max(1, math.ceil(len(made) * imatch.LEAST)) <= k <= max(1, int(len(made) * imatch.MOST))}
+    r = imatch.fingerprints(docs).toPandas().set_index("doc_id")
+    ids = sorted(made, reverse=True)
+    prints = {}
+
+    def force(text):
+        own = set(re.findall(r"\w+", text.lower()))
+        h = sorted(map(imatch.term_hash, own & band or own))
+        inside = imatch.membership(np.array(h, np.uint64))
+        seqs = [b"".join(x.to_bytes(8, "little") for x, ok in zip(h, inside[:, j], strict=True) if ok) for j in range(imatch.SLOTS)]
+        return [imatch.xxhash.xxh64_hexdigest(x) if x else "0" * 16 for x in seqs]
+
+    for a, b in zip(ids, ids[1:] + ids[:1], strict=True):
+        if not terms[a]:
+            continue
+        new = imatch.edited(made[a], made[b])
+        mine, changed = force(made[a]), force(new)
+        prints[a] = mine
+        assert r.loc[a].fingerprint == "".join(mine) and r.loc[a].edited_fingerprint == "".join(changed)
+        some = [(x, y) for x, y in zip(mine, changed, strict=True) if {x, y} != {"0" * 16}][-imatch.COMPARED :]
+        assert r.loc[a].near_edited == pytest.approx(sum(x == y for x, y in some) / len(some))
+
+
+def test_documents_without_ids_are_spread(spark):
+    rows = [(None, f"text {i} of none") for i in range(300)] + [(i, f"text {i} of some") for i in range(50)]
+    r = imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert r.count() == 350 and r.where("doc_id is null").count() == 300
+    per = r.withColumn("p", imatch.F.spark_partition_id()).where("doc_id is null").groupBy("p").count().collect()
+    assert len(per) > 1
+
+
 def test_fingerprints_tell_edits(docs):
     r = imatch.fingerprints(docs).toPandas()
     assert ((r.near_edited > r.near_next).mean()) > 0.9
@@ -135,32 +171,76 @@ def test_quality(spark, docs, odd, none):
     assert quality.quality(none, table(spark, SF, "labels")).count() == 0
 
 
-@pytest.mark.parametrize("limit", [10**6, 3])
-def test_language_model(docs, odd, none, limit):
-    made = texts_of(docs)
-    r = bloom_lm.language_model(docs, max_words=limit).toPandas().set_index("doc_id")
+def model_by_force(made, bits=40):
+    """P(word | before) of the training texts, from plain counts."""
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in made}
     tokens = {i: [*words(t), None] for i, t in made.items()}
-    c = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    train = [ws for i, ws in tokens.items() if not held[i]]
+    c, pairs = Counter(w for ws in train for w in ws), Counter(x for ws in train for x in zip([None, *ws], ws))
     n, v = sum(c.values()), len(c)
+    r = {x: 1.5 * 2 ** math.floor(math.log2(k)) - 0.5 for x, k in pairs.items()}
+    s, t = defaultdict(float), Counter()
+    for (b, _), x in r.items():
+        s[b] += x
+        t[b] += 1
+
+    def p(b, w):
+        one = (c[w] + 1) / (n + v + 1)
+        return (max(r.get((b, w), 0) - 0.75, 0) + 0.75 * t[b] * one) / (s[b] + 0.25 * bloom_lm.false_hits(bits) * (v - t[b])) if s[b] else one
+
+    return held, tokens, c, p
+
+
+@pytest.mark.parametrize(("max_words", "max_bytes"), [(10**6, 10**8), (3, 10**8), (10**6, 1), (3, 1)])
+def test_language_model(docs, odd, none, max_words, max_bytes, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "FREQUENT_SHARE", 1_000)  # beyond max_words most words are rare
+    limits = {"max_words": max_words, "max_bytes": max_bytes, "a_member": 40}  # with hardly any false hits scores are those of plain counts
+    made = texts_of(docs)
+    held, tokens, c, p = model_by_force(made)
+    n, v = sum(c.values()), len(c)
+    r = bloom_lm.language_model(docs, **limits).toPandas().set_index("doc_id")
+    assert len(r) == len(made)
     for i, ws in tokens.items():
         x = r.loc[i]
         assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (held[i], len(ws), sum(w in c for w in ws), n)
         assert x.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel=1e-9)
+        assert x.score == pytest.approx(sum(math.log10(p(b, w)) for b, w in zip([None, *ws], ws)), rel=1e-6)
     assert r[r.held_out].score.sum() > r[r.held_out].base_score.sum()
-    assert bloom_lm.language_model(odd, max_words=limit).count() == 13 and bloom_lm.language_model(none).count() == 0
+    assert bloom_lm.language_model(odd, **limits).count() == 13
+    assert bloom_lm.language_model(none, **limits).count() == 0
+
+
+def test_probabilities_of_a_context_sum_to_one(spark, docs):
+    _, _, c, _ = model_by_force(texts_of(docs))
+    model = bloom_lm.learn(docs.where("crc32(cast(doc_id as string)) % 7 <> 2"))
+    common = [w for w, _ in c.most_common(300) if w]
+    some = [None, common[0], common[1], common[200], "neverseenword"]
+    sums = [sum(model_p(model, b, w) for w in [*c, "neverseenword"]) for b in some]
+    assert sums == pytest.approx([1] * len(some), abs=0.2) and np.mean(sums) == pytest.approx(1, abs=0.1), sums
+    rows = [(i, f"{w} {common[3]}") for i, w in enumerate(some[1:])]
+    for r in bloom_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        w = some[1:][r["doc_id"]]
+        assert r["score"] == pytest.approx(sum(math.log10(model_p(model, *x)) for x in ((None, w), (w, common[3]), (common[3], None))), rel=1e-9)
+
+
+def model_p(model, b, w):
+    """The model's P(w | b) by the filter itself."""
+    h = lambda u: np.array([bloom_lm.END if u is None else bloom_lm.xxhash.xxh64_intdigest(u)], np.uint64)
+    (c,), _, _ = model.words.find(h(w))
+    (n,), (s,), (t,) = model.words.find(h(b))
+    q = model.pairs.levels(bloom_lm.pair_keys(h(b), h(w)), bloom_lm.segment_of(h(b), h(w), model.segments), np.array([min(c, n)]))
+    one = (c + 1) / (model.total + model.distinct + 1)
+    return (max(bloom_lm.doubled(q)[0] - 1.5, 0) + 1.5 * t * one) / (s + 0.5 * model.false * (model.distinct - t)) if s else one
 
 
 def test_filter_never_counts_too_little():
     keys = np.random.default_rng(3).integers(1, 1 << 63, 20_000).astype(np.uint64)
     n = np.where(np.arange(20_000) % 3 == 0, 2, 70)
-    bits = np.zeros(bloom_lm.BLOCK_BITS // 8, np.uint8)
-    for q in range(1, 8):
-        for p in bloom_lm.positions(keys[bloom_lm.level(n) >= q], q):
-            np.bitwise_or.at(bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
-    got = bloom_lm.LogFrequencyFilter(1, bits).count(keys)
-    assert (got >= np.where(n == 2, 2, 64)).all() and (got <= 2 * n).mean() > 0.9
-    assert (bloom_lm.LogFrequencyFilter(1, bits).count(keys + np.uint64(5)) == 0).mean() > 0.9
+    f = bloom_lm.LogFrequencyFilter([bloom_lm.segment(keys, n).tobytes()])
+    own, most = np.zeros(20_000, np.int64), np.full(20_000, 1000)
+    got = f.levels(keys, own, most)
+    assert (got >= bloom_lm.level(n)).all() and (got == bloom_lm.level(n)).mean() > 0.97
+    assert (f.levels(keys + np.uint64(5), own, most) == 0).mean() > 1 - 2 * bloom_lm.false_hits()
 
 
 def links_by_force(made, percent=80):
@@ -266,13 +346,32 @@ def test_token_files(docs, odd, none):
 
 def test_any_token_of_a_shard():
     ids = np.random.default_rng(1).integers(0, 70_000, 5000).astype(np.uint32) >> np.random.default_rng(2).integers(0, 16, 5000).astype(np.uint32)
-    r = dac.ShardReader(dac.shard([3, None], [2000, 3000], ids))
+    raw = dac.shard([3, None], [2000, 3000], ids)
+    r = dac.ShardReader.of(raw)
     assert (r.all() == ids).all() and [r.token(i) for i in range(0, 5000, 7)] == ids[::7].tolist()
+    read: list[int] = []
+    r = dac.ShardReader(lambda at, size: (read.append(size), raw[at : at + size])[1])
+    read.clear()
+    assert r.token(4321) == ids[4321] and sum(read) <= 80 * len(r.levels) and len(read) <= 3 * len(r.levels)
     with pytest.raises(IndexError):
         r.token(5000)
 
 
-def test_nearest(spark):
+def test_any_token_of_all_files(docs):
+    lib = Tokenizer.from_file(BYTE)
+    shards = dac.write(docs, BYTE, shard_ids=5000)
+    made = texts_of(docs)
+    ids = [x for i in sorted(made) for x in [*lib.encode(made[i], add_special_tokens=False).ids, 2]]
+    for i in (0, 4999, 5000, 12_345, len(ids) - 1):
+        assert dac.token(shards, i) == ids[i]
+    with pytest.raises(IndexError):
+        dac.token(shards, len(ids))
+
+
+@pytest.mark.parametrize("block", [search.BLOCK, 60])
+def test_nearest(spark, monkeypatch, block):
+    monkeypatch.setattr(search, "BLOCK", block)
+    monkeypatch.setattr(search, "LEAF", 16)
     e = table(spark, SF, "embeddings")
     m = {r["vec_id"]: np.array(r["embedding"], float) for r in e.collect()}
     r = search.nearest(e).toPandas()
@@ -281,11 +380,33 @@ def test_nearest(spark):
         best = sorted(((-float(m[q] @ v), i) for i, v in m.items() if i != q))[:20]
         hit += len({i for _, i in best} & set(got.vec_id))
         total += 20
-        assert got.sort_values("rank").score.is_monotonic_decreasing and list(got["rank"]) == list(range(1, 21))
+        assert got.sort_values("rank").score.is_monotonic_decreasing and sorted(got["rank"]) == list(range(1, 21))
         assert all(abs(s - float(m[q] @ m[i])) < 1e-12 for i, s in zip(got.vec_id, got.score, strict=True))
     assert hit / total >= 0.9 and total == 20 * sum(i % 20 == 0 for i in m)
 
 
+def test_nearest_visits_few_blocks(spark, monkeypatch):
+    """Vectors in clusters: a query leaves out most blocks, and equal vectors are split over blocks."""
+    monkeypatch.setattr(search, "BLOCK", 100)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 16))
+    v = np.concatenate([np.repeat(centres, 50, axis=0) + 0.01 * rng.normal(size=(2000, 16)), np.tile(centres[:1], (1000, 1))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    e = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    r = search.nearest(e).toPandas()
+    hit = 0
+    for q, got in r.groupby("query_id"):
+        s = v @ v[q]
+        best = [i for i in np.lexsort((np.arange(len(v)), -s)) if i != q][:20]
+        hit += len(set(best) & set(got.vec_id))
+    assert r.query_id.nunique() == 150 and hit / 3000 >= 0.9
+    p = search.projected(v, 1.0)
+    cells = search.Cells(p, 30)
+    assert all(cells.bounds(x)[c] == 0 for x, c in zip(p, cells.of(p), strict=True))
+    near = [(cells.bounds(search.target(v[q], 1.0)) <= search.chi_square_quantile(0.98) * (2 - 2 * np.sort(v @ v[q])[-21])).sum() for q in range(0, 3000, 20)]
+    assert np.mean(near) < 10
+
+
 def test_nearest_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [-1.0, 0.5]), (40, [3.0, 4.0]), (7, [-1.0, 0.5])]
     e = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, query int")
@@ -385,12 +506,3 @@ def test_long_runs_of_a_word_meet_past_short_ones(spark):
     rows = [(1, "so " * 7 + "it goes"), (2, "b c " + "so " * 60), (3, "d e f " + "so " * 70)]
     found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["match_doc_id"], r["n_words"]) for r in found} == {(3, 2, 60)}
-
-
-def test_scores_do_not_depend_on_what_is_broadcast(docs, monkeypatch):
-    want = {r["doc_id"]: r for r in bloom_lm.language_model(docs).collect()}
-    monkeypatch.setattr(bloom_lm, "FREQUENT_SHARE", 1_000)  # most words are rare
-    got = {r["doc_id"]: r for r in bloom_lm.language_model(docs, max_words=3).collect()}
-    assert set(got) == set(want)
-    for i, x in want.items():
-        assert got[i]["n_known"] == x["n_known"] and got[i]["score"] == pytest.approx(x["score"], rel=1e-9) and got[i]["base_score"] == pytest.approx(x["base_score"], rel=1e-9)
