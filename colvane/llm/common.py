@@ -8,7 +8,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,9 +120,9 @@ def dealt_in_order(df: DataFrame, key: str, n: int, as_name: str) -> tuple[DataF
     """Adds the ordered bucket of `key`; the numbers of buckets with and without it."""
     bounds, nameless = ordered_bounds(df, key, n)
 
-    @F.pandas_udf("int")
-    def bucket(x: pd.Series) -> pd.Series:
-        return pd.Series(bucket_of(bounds, pa.Array.from_pandas(x, pa.int64())))
+    @F.arrow_udf("int")
+    def bucket(x: pa.Array) -> pa.Array:
+        return pa.array(bucket_of(bounds, x))
 
     return df.withColumn(as_name, bucket(F.col(key))), len(bounds) + 1, nameless
 

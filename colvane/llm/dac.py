@@ -192,7 +192,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_ids: int
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer_path)
-        for t in rebatched(batches, size=3_000_000):
+        for t in rebatched(batches):
             flat, offsets = with_end(*encoder.encode(texts(t)), end_id)
             flat = flat.astype("<u2") if flat.max() < 1 << 16 else flat
             size, ends = flat.itemsize, offsets.tolist()
@@ -258,18 +258,13 @@ def read(shards: DataFrame) -> DataFrame:
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for bucket, place, path in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for path, first in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
                 reader = ShardReader.open(path)
                 ids, starts, doc_ids = memoryview(reader.all().tobytes()), reader.starts, reader.doc_ids
                 ends = starts.tolist()
                 crc = [zlib.crc32(ids[4 * x : 4 * y]) for x, y in zip(ends, ends[1:], strict=False)]
-                n = len(crc)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, bucket)), pa.array(np.full(n, place)), pa.array(doc_ids, pa.int64(), mask=doc_ids == NONE), pa.array(starts[:-1]), pa.array(np.diff(starts)), pa.array(crc, pa.int64())],
-                    names=["bucket", "place", "doc_id", "inside", "n_tokens", "ids_crc32"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=doc_ids == NONE), pa.array(first + starts[:-1]), pa.array(np.diff(starts)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # the table of shards is small, so its rows are dealt out again: each task opens a few files
-    dealt = shards.select("bucket", "place", "path").repartition(partitions(shards.sparkSession), "bucket", "place")
-    rows = dealt.mapInArrow(documents, "bucket long, place long, doc_id long, inside long, n_tokens long, ids_crc32 long")
-    return rows.join(firsts(shards), ["bucket", "place"]).select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    dealt = shards.join(firsts(shards), ["bucket", "place"]).select("path", "first").repartition(partitions(shards.sparkSession), "path")
+    return dealt.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")

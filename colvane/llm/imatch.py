@@ -23,13 +23,13 @@ from colvane.llm.tokens import CACHE
 
 #: The band: terms in at least this share and at most that share of documents, inverse document frequencies 9.7 to 3.0.
 #: A term of the band takes LEAST of the documents, so their number is at most the mean distinct terms of a document / LEAST:
-#: with 250 of them 4 million terms, 32 MB broadcast as hashes and 32 MB more in a worker for their subsets.
+#: with 250 of them 4 million terms, 32 MB broadcast as hashes and 48 MB more in a worker for their subsets.
 LEAST, MOST = 2.0**-14, 0.05
 #: Subsets: SETS for each density 1, 1/2, 1/4 and so on; each has a hash of 16 hexadecimal digits, zeros if it has no term.
-DENSITIES, SETS = 12, 5
+DENSITIES, SETS = 12, 8
 SLOTS = DENSITIES * SETS
 #: Likeness looks at so many of the sparsest subsets that either document has terms in.
-COMPARED = 20
+COMPARED = 32
 TERM = re.compile(r"\w+")
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 

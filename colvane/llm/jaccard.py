@@ -6,17 +6,21 @@ prefix and size are one group. Group pairs come from shared prefix shingles, are
 bitmaps, and are expanded to their members, which are verified on their whole texts.
 
 A set's parity bitmap has one bit flipped for each of its shingles, so two bitmaps differ in at most as many bits as the
-sets differ in shingles: too many differing bits rule a pair out for certain.
-
-Components need no pair inside what is already connected. So before the pairs are made, each prefix shingle's
-documents are tried against one of them (a star, linear in their number; its centre is the document with most shared
-prefix shingles, the least edited of a family of copies). Links that hold are joined up. After that only documents
-outside the component of a shingle's centre are paired, with all of that shingle's documents of other components.
+sets differ in shingles: too many differing bits rule a pair out for certain. Large sets are cut into classes of about
+CLASS shingles by their hashes. If two sets are similar, so are their shares of some class (one has at least the mean
+overlap), so each class has a prefix of its own, with its own sizes, positions and bitmap. Sets of neighbouring sizes may
+have different numbers of classes; the larger one then has both numbers.
+
+Components need no pair inside what is already connected. So before the pairs are made, documents that share a prefix
+shingle are tried against one of them (a star, linear in their number; its centre is the document in which the shingle
+comes earliest, the least edited of a family of copies), then those still outside the shingle's main component once more. Links that hold are joined up. After that only documents outside the main component of a shingle
+are paired, with all of that shingle's documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -31,8 +35,10 @@ from colvane.llm.words import shingle_sets
 
 #: The frequency sketch has ROWS rows of CELLS counters; as sent out it takes a byte each, whatever the corpus.
 ROWS, CELLS, PARTS = 2, 1 << 23, 64
-#: Words of 64 bits of the short bitmaps that joins compare; the long ones have 1 to 2 bits a shingle.
+#: Words of 64 bits of a class's bitmap, which joins compare; the long ones of whole sets have 1 to 2 bits a shingle.
 SHORT = 4
+#: Shingles of a class, at most (in the mean).
+CLASS = 192
 SHORTS = [f"b{i}" for i in range(SHORT)]
 
 
@@ -83,30 +89,60 @@ def differing(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def divisions(n: int, percent: int) -> list[int]:
+    """Numbers of classes of a set of n: as its own size says, and as the smallest similar set's does."""
+    return sorted({1 << max(0, -(-x // CLASS) - 1).bit_length() for x in (n, -(-percent * n // 100))})
+
+
+def prefixes(ordered: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, list[dict]]:
+    """(tokens, places, classes) of a set whose shingles are in order: the tokens of each class's prefix, each one's
+    place (its position, its class's size and the class, in one word), and number, size and bitmap of the classes."""
+    tokens, places, classes = [], [], []
+    for m in divisions(len(ordered), percent):
+        own = (mixed(ordered, 11) & np.uint64(m - 1)).astype(np.int64)
+        order = np.argsort(own, kind="stable")
+        g, own = ordered[order], own[order]
+        size = np.bincount(own, minlength=m)
+        first = np.cumsum(size) - size
+        at = np.arange(len(g)) - first[own]
+        kept = at <= size[own] - -(-percent * size[own] // 100)
+        number = m + own  # of the class, among all divisions
+        tokens.append(mixed(g[kept], m))
+        places.append((at | size[own] << 24 | number << 44)[kept])
+        for c in np.flatnonzero(size).tolist():
+            classes.append((m + c, *parity(g[first[c] : first[c] + size[c]] >> np.uint64(32), 64 * SHORT).view(np.int64).tolist()))
+    return np.concatenate(tokens), np.concatenate(places), classes
+
+
 def signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, whole, same, prefix, bits, b0 ..): set size, hash of the set, hash of the prefix, prefix shingles in
-    order, long and short parity bitmaps."""
+    """(doc_id, n, whole, same, bits, tokens, places, maps): set size, hash of the set, hash of its prefixes, long bitmap,
+    and prefixes as above."""
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
-        for t in rebatched(batches):
+        kind = pa.list_(pa.struct([("class", pa.int32()), *((b, pa.int64()) for b in SHORTS)]))
+        for t in rebatched(batches, size=3_000_000):
             g, offsets = shingle_sets(texts(t), k)
             own = np.repeat(np.arange(t.num_rows), np.diff(offsets))
-            ordered = g[np.lexsort((g, np.minimum.reduce([level[c] for c in cells(g)]), own))].view(np.int64)
-            n, whole, same, prefix, bits, short = np.diff(offsets).tolist(), [], [], [], [], []
+            ordered = g[np.lexsort((g, np.minimum.reduce([level[c] for c in cells(g)]), own))]
+            n, whole, same, bits, tokens, places, maps = np.diff(offsets).tolist(), [], [], [], [], [], []
             for a, size in zip(offsets[:-1].tolist(), n, strict=True):
-                p, mine = ordered[a : a + (size - -(-percent * size // 100) + 1 if size else 0)], g[a : a + size]
+                mine = g[a : a + size]
+                p, at, classes = prefixes(ordered[a : a + size], percent) if size else (mine, mine.view(np.int64), [])
                 whole.append(hashlib.blake2b(mine.tobytes(), digest_size=16).digest())
                 same.append(int.from_bytes(hashlib.blake2b(p.tobytes(), digest_size=8).digest(), "little", signed=True))
-                prefix.append(p)
                 bits.append(parity(mine, max(64, 1 << size.bit_length())).tobytes())
-                short.append(parity(mine >> np.uint64(32), 64 * SHORT).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate(prefix) if prefix else [], pa.int64()))
-            cols = [t.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(n, pa.int64()), pa.array(whole, pa.binary()), pa.array(same, pa.int64()), lists, pa.array(bits, pa.binary()), *map(pa.array, np.ascontiguousarray(np.array(short).T))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "whole", "same", "prefix", "bits", *SHORTS])
-
-    fields = "doc_id long, n long, whole binary, same long, prefix array<long>, bits binary, " + ", ".join(f"{b} long" for b in SHORTS)
+                tokens.append(p.view(np.int64))
+                places.append(at)
+                maps.append([dict(zip(["class", *SHORTS], c, strict=True)) for c in classes])
+            ends = pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else [], pa.int64())) for x in (tokens, places)]
+            cols = [t.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(n, pa.int64()), pa.array(whole, pa.binary()), pa.array(same, pa.int64()), pa.array(bits, pa.binary()), *lists, pa.array(maps, kind)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "whole", "same", "bits", "tokens", "places", "maps"])
+
+    words = ", ".join(f"{b}: long" for b in SHORTS)
+    fields = f"doc_id long, n long, whole binary, same long, bits binary, tokens array<long>, places array<long>, maps array<struct<class: int, {words}>>"
     return stored(docs.select("doc_id", "text").mapInArrow(run, fields), "signatures")
 
 
@@ -158,21 +194,25 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     signed = signatures(docs, k, percent)
     known = signed.where("doc_id is not null and n > 0")
     # prefixes are shuffled once, by group; all else about documents and classes is narrow
-    heads = known.groupBy("n", "same").agg(F.min(F.struct("doc_id", "prefix", *SHORTS)).alias("m"), (F.min("whole") != F.max("whole")).alias("many"))
-    groups = stored(heads.select("n", F.col("m.doc_id").alias("gid"), "m.prefix", "many", *(f"m.{b}" for b in SHORTS)), "groups")
+    heads = known.groupBy("n", "same").agg(F.min(F.struct("doc_id", "tokens", "places", "maps")).alias("m"), (F.min("whole") != F.max("whole")).alias("many"))
+    groups = stored(heads.select("n", F.col("m.doc_id").alias("gid"), "m.tokens", "m.places", "m.maps", "many"), "groups")
     firsts = known.groupBy("n", "same").agg(F.min("doc_id").alias("gid"))
-    each = known.groupBy("n", "whole", "same").agg(F.min(F.struct("doc_id", "bits", *SHORTS)).alias("m"))
-    classes = stored(each.join(firsts, ["n", "same"]).select("n", "whole", F.col("m.doc_id").alias("id"), "gid", "m.bits", *(f"m.{b}" for b in SHORTS)), "classes")
+    each = known.groupBy("n", "whole", "same").agg(F.min(F.struct("doc_id", "bits")).alias("m"))
+    classes = stored(each.join(firsts, ["n", "same"]).select("n", "whole", F.col("m.doc_id").alias("id"), "gid", "m.bits"), "classes")
     sizes = stored(signed.select("doc_id", "n", "whole"), "sizes")
     forget(signed)
 
     # postings of shingles that some pair can share in reach: of two sets the smaller has it early
-    postings = groups.select("gid", "n", F.posexplode("prefix").alias("p", "token"))
-    early = F.expr(f"p <= n - ceil({2 * percent} * n / {100 + percent}.0 - 1e-9)")
+    unpacked = {"p": "place & 0xFFFFFF", "m": "shiftright(place, 24) & 0xFFFFF", "class": "cast(shiftright(place, 44) as int)"}
+    unpacked = {c: F.expr(x.replace("0xFFFFFF", str((1 << 24) - 1)).replace("0xFFFFF", str((1 << 20) - 1))).alias(c) for c, x in unpacked.items()}
+    postings = groups.select("gid", F.explode(F.arrays_zip("tokens", "places")).alias("x")).select("gid", F.col("x.tokens").alias("token"), F.col("x.places").alias("place"))
+    early = unpacked["p"] <= unpacked["m"] - F.ceil(2 * percent * unpacked["m"] / (100.0 + percent) - 1e-9)
     shared = postings.groupBy("token").agg(F.count("*").alias("c"), F.max(early).alias("some")).where("c > 1 and some").select("token")
     met = stored(postings.join(shared, "token"), "met")
-    about = met.groupBy("gid").agg(F.count("*").alias("w")).join(groups.select("gid", "many", *SHORTS), "gid")
-    postings = stored(met.join(about, "gid"), "postings")
+    # cells of sizes: those of similar sets are equal or next to each other
+    about = groups.join(met.select("gid").distinct(), "gid").select("gid", "n", "many", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int").alias("s"), F.explode("maps").alias("x"))
+    postings = met.select("gid", "token", *unpacked.values()).join(about.select("gid", "n", "many", "s", "x.*"), ["gid", "class"]).drop("class")
+    postings = stored(postings, "postings")
     forget(met, groups)
 
     loose = classes.where("id <> gid")
@@ -187,55 +227,59 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         x, y = body.select(F.col("id").alias("a"), F.col("text").alias("x")), body.select(F.col("id").alias("b"), F.col("text").alias("y"))
         return stored(similar(left.join(x, "a").join(y, "b"), k, percent).distinct(), "links")
 
-    need = f"ceil({percent} * (n + n2) / {100 + percent}.0 - 1e-9)"
+    need = f"ceil({percent} * (m + m2) / {100 + percent}.0 - 1e-9)"
     differ = " + ".join(f"bit_count({b} ^ {b}2)" for b in SHORTS)
     sized = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
-    placed, alike = f"least(n - p, n2 - p2) >= {need}", f"{differ} <= n + n2 - 2 * {need}"
-    columns = ["gid", "n", "p", *SHORTS]
+    alike = f"{differ} <= m + m2 - 2 * {need}"
+    fits = f"gid <> gid2 and {sized} and least(m - p, m2 - p2) >= {need}"
+    columns = ["gid", "n", "p", "m", *SHORTS]
     second = lambda names: [F.col(c).alias(f"{c}2") for c in names]
     ends = [F.least("gid", "gid2").alias("a"), F.greatest("gid", "gid2").alias("b")]
 
-    # members of a group against its first one: a star inside the group
-    links = verified(loose.select(F.col("id").alias("a"), F.col("gid").alias("b")))
-    done = [links]
-    label = components(links)
+    def star(rows: DataFrame) -> DataFrame:
+        """Pairs of each row with the centre of its token and cell."""
+        first = F.min(F.struct((F.col("p") / F.col("m")).alias("share"), F.xxhash64("gid").alias("h"), *columns)).alias("x")
+        centres = rows.groupBy("token", "s").agg(first).select("token", "s", *(F.col(f"x.{c}").alias(f"{c}2") for c in columns))
+        return rows.join(centres, ["token", "s"]).where(f"{fits} and {alike}").select(ends).distinct()
 
     def labelled(df: DataFrame) -> DataFrame:
         """Adds the least and the greatest component of each group's members."""
         own = classes.select("gid", "id").join(label, "id").groupBy("gid")
         own = own.agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"))
         all_of = classes.groupBy("gid").agg(F.count("*").alias("classes"))
-        # members without a link are components of their own, with ids of at least gid
-        own = own.join(all_of, "gid").select("gid", F.when(F.col("c") == F.col("classes"), F.col("low")).otherwise(F.least("low", "gid")).alias("low"), F.when(F.col("c") == F.col("classes"), F.col("high")).otherwise(F.lit((1 << 63) - 1)).alias("high"))
+        # a member without a link is a component of its own
+        whole = F.col("c") == F.col("classes")
+        own = own.join(all_of, "gid").select("gid", F.when(whole, F.col("low")).otherwise(F.least("low", "gid")).alias("low"), F.when(whole, F.col("high")).otherwise(F.lit((1 << 63) - 1)).alias("high"))
         single = F.when(F.col("many"), F.lit((1 << 63) - 1)).otherwise(F.col("gid"))
         return df.join(own, "gid", "left").withColumn("low", F.coalesce("low", "gid")).withColumn("high", F.coalesce("high", single))
 
-    centre = F.max(F.struct("w", F.xxhash64("gid").alias("h"), *columns)).alias("m")
-    centres = stored(postings.groupBy("token").agg(centre).select("token", *(F.col(f"m.{c}").alias(f"{c}2") for c in columns)), "centres")
-    stars = postings.join(centres, "token").where(f"gid <> gid2 and {sized} and {placed} and {alike}").select(ends).distinct()
-    done.append(verified(stars))
-    links = links.union(done[-1])
+    # members of a group against its first one, and a star of each token and cell
+    inside = verified(loose.select(F.col("id").alias("a"), F.col("gid").alias("b")))
+    done = [inside, verified(star(postings))]
+    label = components(done[0].union(done[1]))
+    # a token's main component is that of most of its groups; what isn't in it is tried once more
+    at = stored(labelled(postings), "at")
+    each = at.where("low = high").groupBy("token", "low").agg(F.count("*").alias("c"))
+    mains = each.groupBy("token").agg(F.max(F.struct("c", F.col("low").alias("main"))).alias("x")).select("token", "x.main")
+    outside = stored(at.join(mains, "token", "left").where("not (low = high and low <=> main)").drop("low", "high"), "outside")
+    done.append(verified(star(outside)))
     forget(label)
-    label = components(links)
+    label = components(done[0].union(done[1]).union(done[2]))
 
-    # what is not in the component of a shingle's centre, with that shingle's groups of other components
-    at = stored(labelled(postings), "at")
-    hub = at.select("token", "gid", "low", "high").join(centres.select("token", F.col("gid2").alias("gid")), ["token", "gid"]).select("token", F.col("low").alias("hub_low"), F.col("high").alias("hub_high"))
-    outside = stored(at.join(hub, "token").where("not (low = high and hub_low = hub_high and low = hub_low)").drop("hub_low", "hub_high"), "outside")
-    other = at.select("token", *second([*columns, "low", "high", "many"]))
-    apart = "not (low = high and low2 = high2 and low = low2)"
-    near = outside.join(other, "token").where(f"gid <> gid2 and {apart} and {sized} and {placed} and (many or many2 or {alike})").select(ends).distinct()
+    # what is outside still, with all groups of its token
+    now = labelled(outside).join(label.select(F.col("id").alias("main"), F.col("component").alias("home")), "main", "left")
+    now = now.where("not (low = high and low <=> coalesce(home, main))").select("token", "many", *columns)
+    near = now.join(at.select("token", *second([*columns, "many"])), "token").where(f"{fits} and (many or many2 or {alike})").select(ends).distinct()
     both = near.select(F.col("a").alias("g"), F.col("b").alias("h"))
-    split = labelled(classes.select("gid").distinct().withColumn("many", F.lit(True))).join(loose.select("gid").distinct(), "gid", "left_semi").where("low <> high").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
-    own = classes.select("id", "gid", "n", *SHORTS).join(label, "id", "left").select("id", "gid", "n", *SHORTS, F.coalesce("component", "id").alias("c"))
-    mine, yours = own.withColumnRenamed("gid", "g"), own.select(F.col("gid").alias("h"), *second(["id", "n", "c", *SHORTS]))
-    pairs = both.union(split).join(mine, "g").join(yours, "h").where(f"id <> id2 and c <> c2 and {sized} and {alike}")
-    last = verified(pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
-    done.append(last)
-    if not last.isEmpty():
+    split = labelled(loose.select("gid").distinct().withColumn("many", F.lit(True))).where("low <> high").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
+    own = classes.select("id", "gid").join(label, "id", "left").select("id", "gid", F.coalesce("component", "id").alias("c"))
+    mine, yours = own.withColumnRenamed("gid", "g"), own.select(F.col("gid").alias("h"), *second(["id", "c"]))
+    pairs = both.union(split).join(mine, "g").join(yours, "h").where("id <> id2 and c <> c2")
+    done.append(verified(pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()))
+    if not done[-1].isEmpty():
         forget(label)
-        label = components(links.union(last))
-    forget(*done, centres, at, outside, postings, body)
+        label = components(done[0].union(done[1]).union(done[2]).union(done[3]))
+    forget(*done, at, outside, postings, body)
     named = classes.select("n", "whole", "id").join(label, "id", "left").select("n", "whole", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component"))
     out = sizes.join(named, ["n", "whole"], "left")
     alone = F.col("doc_id").isNull() | F.col("component").isNull()

@@ -7,8 +7,9 @@ chi-square distribution.
 A coarse kd-tree over the projections deals all vectors to cells, each once; a block is a cell, or a part of a cell that
 very many equal vectors share. Each block has its own kd-tree. A query first searches blocks of the cells nearest to it.
 Its k-th best distance then bounds the blocks it must visit besides: those whose cell the chi-square test can't exclude. Inside a
-block it takes leaves in ascending bounds and points in ascending projected distance, verifies them exactly, and stops
-when the chi-square distribution says that a better vector would by now have been seen with the asked probability.
+block it takes leaves in ascending bounds on the projected distance, in growing steps, verifies their vectors exactly, and
+stops when the chi-square distribution says that a better vector would by now have been seen with the asked probability.
+Queries of a batch that reach a leaf in the same step are verified there by one matrix product.
 """
 
 from __future__ import annotations
@@ -68,9 +69,12 @@ class KdTree:
         self.high = np.stack([points[x].max(axis=0) for x in self.leaves])
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
-        """The smallest squared distance of q to each leaf's box."""
-        gap = np.maximum(self.low - q, 0) + np.maximum(q - self.high, 0)
-        return (gap * gap).sum(axis=1)
+        """The smallest squared distance of each row of q to each leaf's box."""
+        out = np.zeros((len(q), len(self.low)))
+        for axis in range(q.shape[1]):
+            gap = np.maximum(self.low[:, axis] - q[:, axis : axis + 1], 0) + np.maximum(q[:, axis : axis + 1] - self.high[:, axis], 0)
+            out += gap * gap
+        return out
 
 
 class Cells:
@@ -128,34 +132,49 @@ def target(q: np.ndarray, longest: float) -> np.ndarray:
 
 
 class Block:
-    """Vectors of a block with their projections and tree."""
+    """Vectors of a block, leaf by leaf, with the tree over their projections."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float):
-        self.ids, self.vectors, self.longest = ids, vectors, longest
-        self.points = projected(vectors, longest)
-        self.tree = KdTree(self.points)
-
-    def nearest(self, query_id: int, q: np.ndarray, k: int, stop: float, far: float = math.inf) -> tuple[np.ndarray, np.ndarray, float]:
-        """(rows, scores) of the k best found, and the distance of the k-th; `stop` is the chi-square quantile of the
-        asked probability, `far` a distance within which k are known already."""
-        length, goal = math.sqrt(float(q @ q)), target(q, self.longest)
-        bound = self.tree.bounds(goal)
-        order = np.argsort(bound)
-        rows, scores = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 4
-        while at < len(order) and bound[order[at]] <= stop * far:
-            own = np.concatenate([self.tree.leaves[i] for i in order[at : at + step]])
-            p = self.points[own] - goal
-            own = own[((p * p).sum(axis=1) <= stop * far) & (self.ids[own] != query_id)]
-            rows, scores = np.concatenate([rows, own]), np.concatenate([scores, self.vectors[own] @ q])
-            if len(rows) > k:
-                best = np.lexsort((self.ids[rows], -scores))[:k]
-                rows, scores = rows[best], scores[best]
-            if len(rows) == k:
-                far = min(far, max(0.0, 2 * self.longest**2 - 2 * float(scores.min()) * self.longest / length))
-            at += step
-            step = min(2 * step, 64)
-        return rows, scores, far
+        self.longest = longest
+        self.tree = KdTree(projected(vectors, longest))
+        order = np.concatenate(self.tree.leaves)
+        self.ids, self.vectors = ids[order], vectors[order]
+        self.ends = np.concatenate([[0], np.cumsum([len(x) for x in self.tree.leaves])])
+
+    def nearest(self, asks: np.ndarray, q: np.ndarray, k: int, stop: float, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's row, vector's row, score) of the k best found for each query; `stop` is the chi-square quantile of
+        the asked probability, `far` the distance within which k are known already."""
+        length = np.sqrt((q * q).sum(axis=1))
+        bound = self.tree.bounds(np.stack([target(x, self.longest) for x in q]))
+        rank = bound.argsort(axis=1).argsort(axis=1)
+        far, least = far.copy(), np.full(len(q), -np.inf)
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        low, high = 0, 4
+        while low < len(self.tree.leaves):
+            reach = (rank >= low) & (bound <= stop * far[:, None])
+            if not reach.any():
+                break
+            reach &= rank < high
+            rows, points = [], []
+            for leaf in np.flatnonzero(reach.any(axis=0)).tolist():
+                own, a = np.flatnonzero(reach[:, leaf]), self.ends[leaf]
+                s = q[own] @ self.vectors[a : self.ends[leaf + 1]].T
+                i, j = np.nonzero((s >= (least[own] - 1e-9 * np.abs(least[own]))[:, None]) & (self.ids[a : self.ends[leaf + 1]] != asks[own][:, None]))
+                rows.append(own[i])
+                points.append(a + j)
+            r, p = np.concatenate(rows or [best[0]]), np.concatenate(points or [best[0]])
+            # products of rows alone, so that equal vectors have equal scores wherever they lie
+            s = np.concatenate([(self.vectors[p[i : i + 50_000]] * q[r[i : i + 50_000]]).sum(axis=1) for i in range(0, len(p), 50_000)] or [best[2]])
+            r, p, s = (np.concatenate(x) for x in zip(best, (r, p, s), strict=True))
+            order = np.lexsort((self.ids[p], -s, r))
+            r, p, s = r[order], p[order], s[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            best = r[place < k], p[place < k], s[place < k]
+            full = best[0][np.flatnonzero(place[place < k] == k - 1)]
+            least[full] = best[2][place[place < k] == k - 1]
+            far[full] = np.minimum(far[full], np.maximum(0.0, 2 * self.longest**2 - 2 * least[full] * self.longest / length[full]))
+            low, high = high, 3 * high
+        return best
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -259,10 +278,10 @@ def nearest(vectors: DataFrame, modulus: int = 20, k: int = 20, sure: float = SU
             b = b.filter(pa.array(asked))
             ids, far, out = b.column("vec_id").to_numpy(), b.column("far").to_numpy(zero_copy_only=False), []
             for rows, m in by_length(b):
-                block = made.get(m.shape[1])
-                for i, q in zip(rows.tolist(), m, strict=True) if block else ():
-                    found, scores, _ = block.nearest(int(ids[i]), q, k, stop, math.inf if np.isnan(far[i]) else float(far[i]))
-                    out.append((np.full(len(found), ids[i]), block.ids[found], scores))
+                if (block := made.get(m.shape[1])) is not None:
+                    asks = ids[rows]
+                    r, p, scores = block.nearest(asks, m, k, stop, np.where(np.isnan(far[rows]), np.inf, far[rows]))
+                    out.append((asks[r], block.ids[p], scores))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
 

@@ -23,7 +23,7 @@ from colvane.llm.common import ragged
 #: White space as the files' patterns mean it.
 WS = "\t-\r \x85\xa0  -     　"
 #: Entries of a cache before it is emptied.
-CACHE = 150_000
+CACHE = 250_000
 #: Chunks of these characters are cut here; any other goes to the library whole.
 PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-įı-ɏ]*")
 #: The pre-token patterns of the two public files.
