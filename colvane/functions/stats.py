@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from colvane.operators.vector import dense_index
 
 
+def in_order(df: DataFrame, value: str) -> DataFrame:
+    """(value, i): dense positions; equal values are told by chance numbers, so a frequent one spreads over partitions."""
+    return dense_index(df.select(value, F.rand(7).alias("_tie")), value, "_tie").select(value, "i")
+
+
 def quantiles(df: DataFrame, value: str, ps: list[float]) -> DataFrame:
     """(p, q): with x = p * n, the value at floor(x) of the sorted values, averaged with the one before if x is whole."""
-    ranked = dense_index(df.select(value).where(F.col(value).isNotNull()), value)
+    ranked = in_order(df.where(F.col(value).isNotNull()), value)
     n = ranked.count()
     asked = []
     for p in ps:
@@ -69,7 +74,7 @@ def segment_ends(df: DataFrame, value: str, k: int) -> DataFrame:
 
 def quantile_segment_means(df: DataFrame, value: str, k: int) -> DataFrame:
     """Means of k runs of equal length of the values in order, each value counted ten times so that runs come out even."""
-    ranked = dense_index(df.select(value), value)
+    ranked = in_order(df, value)
     n = ranked.count()
     size = max(1, -(-10 * n // k))
     first, last = F.col("i") * 10, F.col("i") * 10 + 9

@@ -54,8 +54,11 @@ def amend(a: Column, value: Column, index: Column) -> Column:
     return F.transform(a, lambda x, i: F.when(F.array_contains(index, i), value).otherwise(x))
 
 
-def amend_depth(a: Column, value: Column, i: int, j: int) -> Column:
-    return F.transform(a, lambda row, p: F.when(p == i, F.transform(row, lambda x, q: F.when(q == j, value).otherwise(x))).otherwise(row))
+def amend_depth(a: Column, value: Column, *index: int) -> Column:
+    """value at one place of a nested list, given by any number of indices."""
+    if not index:
+        return value
+    return F.transform(a, lambda row, p: F.when(p == index[0], amend_depth(row, value, *index[1:])).otherwise(row))
 
 
 def cut(a: Column, places: Column) -> Column:
@@ -173,33 +176,45 @@ def scan_iterate(n: int, x: Column, f) -> Column:
     return F.aggregate(enumerate_(F.lit(n)), F.array(x), lambda acc, _: F.concat(acc, F.array(f(F.element_at(acc, -1)))))
 
 
+def within(end: Column, done, limit: int) -> Column:
+    """`end` where it is done or undefined; else an error that names the limit."""
+    return F.transform(F.array(end), lambda v: F.when(v.isNull() | done(v), v).otherwise(F.raise_error(F.lit(f"not done after {limit} steps; give a larger limit"))))[0]
+
+
 def converge(x: Column, f, limit: int = 100, tolerance: float = 1e-12) -> Column:
-    """f until it stops changing, at most `limit` times."""
-    return F.aggregate(enumerate_(F.lit(limit)), x, lambda acc, _: F.when(F.abs(f(acc) - acc) <= tolerance * F.abs(acc), acc).otherwise(f(acc)))
+    """f until it stops changing; an error if it hasn't after `limit` times."""
+    still = lambda v: F.abs(f(v) - v) <= tolerance * F.abs(v)
+    end = F.aggregate(enumerate_(F.lit(limit)), x, lambda acc, _: F.when(still(acc), acc).otherwise(f(acc)))
+    return within(end, still, limit)
 
 
 def scan_converge(x: Column, f, limit: int = 100) -> Column:
+    """All values until f stops changing; an error if it hasn't after `limit` times."""
+
     def step(acc, _):
         new = f(F.element_at(acc, -1))
         return F.when(new == F.element_at(acc, -1), acc).otherwise(F.concat(acc, F.array(new)))
 
-    return F.aggregate(enumerate_(F.lit(limit)), F.array(x), step)
+    end = F.aggregate(enumerate_(F.lit(limit)), F.array(x), step)
+    return within(end, lambda v: F.coalesce(f(F.element_at(v, -1)) == F.element_at(v, -1), F.lit(True)), limit)
 
 
 def while_(x: Column, test, f, limit: int = 1000) -> Column:
-    """f as long as test holds: the first value for which it fails."""
-    return F.aggregate(enumerate_(F.lit(limit)), x, lambda acc, _: F.when(test(acc), f(acc)).otherwise(acc))
+    """f as long as test holds: the first value for which it fails; an error if it holds after `limit` steps."""
+    end = F.aggregate(enumerate_(F.lit(limit)), x, lambda acc, _: F.when(test(acc), f(acc)).otherwise(acc))
+    return within(end, lambda v: ~F.coalesce(test(v), F.lit(False)), limit)
 
 
 def scan_while(x: Column, test, f, limit: int = 1000) -> Column:
-    """Values while test holds; the one that fails is left out."""
+    """Values while test holds; the one that fails is left out; an error if it holds after `limit` steps."""
     empty = F.when(test(x), F.array(x)).otherwise(F.slice(F.array(x), 1, 0))
 
     def step(acc, _):
         new = f(F.try_element_at(acc, F.lit(-1)))
         return F.when((F.size(acc) > 0) & test(new), F.concat(acc, F.array(new))).otherwise(acc)
 
-    return F.aggregate(enumerate_(F.lit(limit)), empty, step)
+    end = F.aggregate(enumerate_(F.lit(limit)), empty, step)
+    return within(end, lambda v: (F.size(v) == 0) | ~F.coalesce(test(f(F.try_element_at(v, F.lit(-1)))), F.lit(False)), limit)
 
 
 def dict_get(m, k):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -38,7 +41,8 @@ class Table:
         return Table(self.df)
 
     def insert(self, rows: list | DataFrame) -> Table:
-        """Appends; a keyed table is updated where keys match (the last row of a key wins inside one batch)."""
+        """Appends; a keyed table is updated where keys match, null keys too. Inside one batch the last row of a key wins;
+        a DataFrame has no order, so of its rows with one key the largest wins."""
         spark = self.df.sparkSession
         if isinstance(rows, DataFrame):
             new, order = rows, []
@@ -66,13 +70,13 @@ class Table:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...] | list[str], order: list[str] = ()) -> DataFrame:
-    """Rows of new replace those of old with equal keys; others are added. `order` ranks rows of new, the last wins."""
-    if order:
-        best = F.max_by(F.struct(*old.columns), F.struct(*order)).alias("r")
-        new = new.groupBy(*keys).agg(best).select("r.*")
-    else:
-        new = new.select(old.columns)
-    return old.join(new.select(*keys), list(keys), "left_anti").select(old.columns).unionByName(new)
+    """Rows of new replace those of old with equal keys (null equals null); others are added. Keys are made unique in
+    new: `order` ranks its rows and the last wins, without an order the largest row."""
+    row = F.struct(*old.columns)
+    new = new.groupBy(*keys).agg((F.max_by(row, F.struct(*order)) if order else F.max(row)).alias("r")).select("r.*")
+    known = new.select(*(F.col(k).alias(f"_new_{k}") for k in keys))
+    same = functools.reduce(operator.and_, (F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys))
+    return old.join(known, same, "left_anti").unionByName(new)
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -96,10 +100,18 @@ class Database:
         return {k: v.columns for k, v in self.tables.items()}
 
     def __call__(self, text: str) -> DataFrame:
-        """Tables are bound to the text's own names, so databases don't disturb each other's views."""
-        for k, v in self.tables.items():
-            v.createOrReplaceTempView(k)
-        return self.spark.sql(text)
+        """Tables are bound to the text's own names while it is resolved; the session's views of those names are as before."""
+        catalog = self.spark.catalog
+        views = {v.name: self.spark.table(v.name) for v in catalog.listTables() if v.isTemporary and v.name in self.tables}
+        try:
+            for k, v in self.tables.items():
+                v.createOrReplaceTempView(k)
+            return self.spark.sql(text)
+        finally:
+            for k in self.tables:
+                catalog.dropTempView(k)
+            for k, v in views.items():
+                v.createOrReplaceTempView(k)
 
     @staticmethod
     def squeeze(df: DataFrame, limit: int = 1_000_000):

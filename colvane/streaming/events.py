@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from colvane.operators.table import upsert
+from colvane.operators.table import latest
+from colvane.operators.vector import dense_index, overlapping
 
 
 def timer(stream: DataFrame, seconds: float, f: Callable[[DataFrame, int], object], checkpoint: str, once: bool = False) -> StreamingQuery:
@@ -19,8 +20,7 @@ def timer(stream: DataFrame, seconds: float, f: Callable[[DataFrame, int], objec
 
 def matches(pattern, symbol):
     """Whether a subscription is for the symbol: exact, or a prefix that ends in *."""
-    prefix = F.expr("left(pattern, length(pattern) - 1)") if pattern is None else F.left(pattern, F.length(pattern) - 1)
-    return F.when(pattern.endswith("*"), symbol.startswith(prefix)).otherwise(pattern == symbol)
+    return F.when(pattern.endswith("*"), symbol.startswith(F.left(pattern, F.length(pattern) - 1))).otherwise(pattern == symbol)
 
 
 def fan_out(events: DataFrame, subscriptions: DataFrame, symbol: str) -> DataFrame:
@@ -30,14 +30,18 @@ def fan_out(events: DataFrame, subscriptions: DataFrame, symbol: str) -> DataFra
 
 
 def bollinger(df: DataFrame, by: str, order: str, value: str, k: int = 20, width: float = 2.0) -> DataFrame:
-    """Mean and bands of the last k values of each key."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(1 - k, 0)
+    """Mean and bands of the last k values of each key. Keys are cut into blocks of positions that overlap by k - 1 rows,
+    so a frequent key is no single task."""
+    w = Window.partitionBy("_b", by).orderBy("_i").rowsBetween(1 - k, 0)
     mean, sd = F.avg(value).over(w), F.stddev_pop(value).over(w)
-    return df.select("*", mean.alias("mid"), (mean - width * sd).alias("low"), (mean + width * sd).alias("high"))
+    made = overlapping(dense_index(df, by, order, name="_i"), k).select("*", mean.alias("mid"), (mean - width * sd).alias("low"), (mean + width * sd).alias("high"))
+    return made.where("_home = _b").drop("_b", "_home", "_i")
 
 
 class KeyedSink:
-    """foreachBatch target: a keyed table in versions; each batch is applied once, even if it is retried."""
+    """foreachBatch target: a keyed table in versions. Of all rows of a key, stored ones too, the last in `order` stays,
+    so a late row replaces none that is newer. Each batch is applied once, even if it is retried: it reads the version
+    before its own, and only versions older than that are deleted."""
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str]):
         self.spark, self.path, self.keys, self.order = spark, path.rstrip("/"), keys, order
@@ -46,10 +50,12 @@ class KeyedSink:
         return f"{self.path}/v{k:08d}"
 
     def __call__(self, batch: DataFrame, k: int) -> None:
-        new = batch.groupBy(*self.keys).agg(F.max_by(F.struct(*batch.columns), F.struct(*self.order)).alias("r")).select("r.*")
         if k:
-            new = upsert(batch.sparkSession.read.parquet(self.version(k - 1)), new, self.keys)
-        new.write.mode("overwrite").parquet(self.version(k))
+            batch = batch.sparkSession.read.parquet(self.version(k - 1)).unionByName(batch)
+        latest(batch, self.keys, self.order).write.mode("overwrite").parquet(self.version(k))
+        if k > 1:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(self.version(k - 2))
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def tumbling(df: DataFrame, ts: str, length: str, by: str, late: str | None = None) -> DataFrame:
