@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from colvane.language import Language
 from colvane.operators import nested as A
 from colvane.operators.vector import Vector, dense_index, running
 from colvane.plans.registry import E, N, ev, events_vector, iv, query, r4, t
@@ -107,3 +108,20 @@ def sliding_windows(spark, d):
 @query("dense_index_orders", "select o_orderkey, row_number() over (order by o_totalprice, o_orderkey) - 1 as i from orders")
 def dense_index_orders(spark, d):
     return dense_index(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey").select("o_orderkey", "i")
+
+
+def _expression(name: str, sql: str, text: str) -> None:
+    """An expression of the array language over the embeddings, row by row inside Catalyst."""
+
+    def run(s, d):
+        lang = Language(t(s, d, "embeddings")).define("r", lambda c: F.round(c + 0.00000123, 4), 1)
+        return lang.select("vec_id", "v", text, "embedding is e", "vec_id is i")
+
+    query(name, f"with e as (select vec_id, [cast(x as double) for x in embedding] as e, list_sum([cast(x as double) for x in embedding]) as total from embeddings) select vec_id, {sql} as v from e")(run)
+
+
+_expression("language_norm", "round(sqrt(list_sum([x * x for x in e])) + 0.00000123, 4)", "r((+/e*e)^0.5)")
+_expression("language_demean", "[round(x - total / 64 + 0.00000123, 4) for x in e]", 'm::{(+/x)%#x}; :"mean"; r(e-m(e))')
+_expression("language_largest", "[round(x + 0.00000123, 4) for x in list_reverse_sort(e)[1:3]]", "r(3#e@>e)")
+_expression("language_choice", "case when vec_id % 3 = 0 then vec_id * 2 when vec_id % 3 = 1 then -vec_id else 0 end", ":[0=i!3;i*2:|1=i!3;-i;0]")
+_expression("language_running", "[round(list_max([e[j + 1] for j in range(k + 1)]) - e[k + 1] + 0.00000123, 4) for k in range(64)]", "r((|\\e)-e)")
