@@ -393,12 +393,16 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
     overlapping matches to one source the fewest that cover the same words are listed.
     doc_id, start, end (code points), n_words, match_doc_id, match_start, match_end, identity (matched words over the
     longer side). The first document of a passage is never listed for it. Null doc_ids and null, empty or short texts
-    have none; equal rows of one doc_id aren't repeats of each other (with different texts the largest is taken); an
-    empty table gives no rows; other columns are not read. No document, seed or passage is capped.
+    have none; equal rows of one doc_id aren't repeats of each other; a doc_id with different texts names no document and
+    takes no part; an empty table gives no rows; other columns are not read. No document, seed or passage is capped.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    unclear = docs.groupBy("doc_id").agg(F.min(h).alias("low"), F.max(h).alias("high")).where("low <> high").select("doc_id")
+    if not unclear.isEmpty():
+        docs = docs.join(unclear, "doc_id", "left_anti")
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     window = "doc_id long, source long, chains array<array<long>>, low long, words binary, spans binary"
 
@@ -485,13 +489,14 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
 
 def without_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with the found passages cut from their texts (all but the first document's copy goes); n_chars follows."""
-    spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
     columns = docs.columns
+    name = "_spans" + "_" * max(map(len, columns))  # no column has it
+    spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(name))
     joined = docs.join(spans, "doc_id", "left")
     start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at"))
     step = lambda acc, s: F.struct(F.when(s["start"] > acc["at"], F.concat(acc["kept"], F.substring("text", (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")))).otherwise(acc["kept"]).alias("kept"), F.greatest(acc["at"], s["end"]).alias("at"))
-    cut = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["kept"], F.substring("text", (acc["at"] + 1).cast("int"), F.length("text"))))
-    joined = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut))
+    cut = F.aggregate(name, start, step, lambda acc: F.concat(acc["kept"], F.substring("text", (acc["at"] + 1).cast("int"), F.length("text"))))
+    joined = joined.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(cut))
     if "n_chars" in columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        joined = joined.withColumn("n_chars", F.when(F.col(name).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return joined.select(columns)

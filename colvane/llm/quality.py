@@ -6,12 +6,12 @@ the two output rows. A distinct word's features are summed once a batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colvane.llm.common import held_out, mixed, ragged, rebatched, small_batches, texts
@@ -169,6 +169,18 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def scorer(spark: SparkSession, model: tuple[np.ndarray, float]) -> Callable[[Column], Column]:
+    """The score as a column of a text column, so that a row keeps its own; null texts get the bias's score."""
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
+
+    @F.arrow_udf("double")
+    def score(x: pa.Array) -> pa.Array:
+        return pa.array(document_scores(*sent.value, ["" if t is None else t for t in x.to_pylist()]), pa.float64())
+
+    return score
+
+
 def quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, threshold: float = 0.7) -> DataFrame:
     """Learns from rows that aren't held out and scores all: doc_id, held_out, score, predicted."""
     s = score(docs, learn(docs, labels, modulus, remainder))

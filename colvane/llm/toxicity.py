@@ -7,12 +7,12 @@ Labels are of documents only. A sentence has probability p = sigmoid(b + sum of
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colvane.llm.common import held_out, mixed, ragged, rebatched, small_batches, stored, texts
@@ -243,6 +243,18 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], offending: float = 0
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def scorer(spark: SparkSession, model: tuple[np.ndarray, float]) -> Callable[[Column], Column]:
+    """The score as a column of a text column, so that a row keeps its own; null texts score as empty ones."""
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
+
+    @F.arrow_udf("double")
+    def score(x: pa.Array) -> pa.Array:
+        return pa.array(document_scores(*sent.value, ["" if t is None else t for t in x.to_pylist()])[0], pa.float64())
+
+    return score
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, threshold: float = 0.7) -> DataFrame:
     """Learns from rows that aren't held out and scores all: doc_id, held_out, score, predicted, offending."""
     s = score(docs, learn(docs, labels, modulus, remainder))

@@ -506,3 +506,67 @@ def test_long_runs_of_a_word_meet_past_short_ones(spark):
     rows = [(1, "so " * 7 + "it goes"), (2, "b c " + "so " * 60), (3, "d e f " + "so " * 70)]
     found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["match_doc_id"], r["n_words"]) for r in found} == {(3, 2, 60)}
+
+
+def test_a_document_is_toxic_if_any_sentence_is(spark, odd):
+    """The noisy-or again, sentence by sentence, and the column form."""
+    rng = np.random.default_rng(11)
+    w, b = rng.normal(scale=0.05, size=toxicity.FEATURES), -1.0
+    rows = [(r["doc_id"], r["text"] or "") for r in odd.where("doc_id is not null").collect()]
+    got = {(r["doc_id"], r["text"] or ""): r["s"] for r in odd.where("doc_id is not null").withColumn("s", toxicity.scorer(spark, (w.astype(np.float32), b))(imatch.F.col("text"))).collect()}
+    for key in rows:
+        if len(key[1]) > 5000:
+            continue
+        clear = []
+        for sentence in re.split(r"[.!?\n]", key[1].lower()):
+            ws = re.findall(r"[^\W_]+", sentence)
+            if ws:
+                z = b
+                for word in ws:
+                    f, _ = toxicity.word_features([word])
+                    z += float(w.astype(np.float32)[f].astype(float).sum())
+                clear.append(1 / (1 + math.exp(z)))
+        assert got[key] == pytest.approx(1 - math.prod(clear) if clear else 1 / (1 + math.exp(-b)), abs=1e-6), key
+
+
+def test_texts_of_one_id(spark, none):
+    w = [f"a{i}" for i in range(80)]
+    rows = [(1, " ".join(w), 5), (2, "x " * 10 + " ".join(w), 5), (3, "y " + " ".join(w), 5), (3, "z " + " ".join(w), 5), (None, " ".join(w), 5), (2, "x " * 10 + " ".join(w), 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _spans int")
+    found = passages.repeated_passages(df)
+    assert {(r["doc_id"], r["match_doc_id"]) for r in found.collect()} == {(2, 1)}
+    cut = passages.without_passages(df, found)
+    assert cut.columns == df.columns and sorted((r["doc_id"] or 0, len(r["text"].split())) for r in cut.collect()) == [(0, 80), (1, 80), (2, 10), (2, 10), (3, 81), (3, 81)]
+
+
+def test_pipeline_stages_with_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    w = [f"a{i}" for i in range(80)]
+    rows = [(1, " ".join(w)), (1, " ".join(w)), (2, " ".join([*w[:-1], "q"])), (3, None), (4, ""), (None, " ".join(w)), (None, None), (5, "fine words here"), (5, "other fine words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score int")
+    labels = spark.createDataFrame([(1, 1, 0), (5, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for df in (docs, docs.limit(0)):
+        at = corpus_pipeline.stored(corpus_pipeline.toxicity_stage(spark, df, str(tmp_path)), "t")
+        assert at.count() == df.count() and at.columns == docs.columns
+        at = corpus_pipeline.quality_stage(spark, at, str(tmp_path))
+        assert at.columns == docs.columns
+        at = corpus_pipeline.stored(corpus_pipeline.near_duplicates_stage(spark, df, str(tmp_path)), "n")
+        ids = sorted((r["doc_id"] or 0, r["text"] or "") for r in at.collect())
+        assert at.columns == docs.columns and (not ids or ids == sorted((i or 0, t or "") for k, (i, t) in enumerate(rows) if k not in (1, 2)))
+        at = corpus_pipeline.stored(corpus_pipeline.passages_stage(spark, at, str(tmp_path)), "p")
+        assert at.columns == docs.columns and at.count() == len(ids)
+        assert corpus_pipeline.packing_stage(spark, at, str(tmp_path)).where("start = 0").count() == len(ids)
+
+
+@pytest.mark.parametrize(("one_in", "least"), [(20, 0.95), (10, 0.9), (7, 0.9), (6, 0.9)])
+def test_recall_of_fuzzy_passages(spark, one_in, least):
+    rng = np.random.default_rng(one_in)
+    rows = []
+    for i in range(100):
+        w = [f"a{i}_{j}" for j in range(70)]
+        changed = set(rng.choice(70, 70 // one_in, replace=False).tolist())
+        rows += [(i, " ".join([f"l{i}_{j}" for j in range(30)] + w)), (1000 + i, " ".join([f"m{i}_{j}" for j in range(30)] + [f"n{i}_{j}" if j in changed else v for j, v in enumerate(w)]))]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.select("doc_id").distinct().count() >= least * 100
