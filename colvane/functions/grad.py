@@ -64,6 +64,26 @@ def ln(x) -> Expr:
     return Expr("ln", (expr(x),))
 
 
+def sin(x) -> Expr:
+    return Expr("sin", (expr(x),))
+
+
+def cos(x) -> Expr:
+    return Expr("cos", (expr(x),))
+
+
+def tan(x) -> Expr:
+    return Expr("tan", (expr(x),))
+
+
+def larger(x, y) -> Expr:
+    return Expr("max", (expr(x), expr(y)))
+
+
+def smaller(x, y) -> Expr:
+    return Expr("min", (expr(x), expr(y)))
+
+
 def column(e: Expr, at: dict[str, float]) -> Column:
     a = e.args
     if e.op == "lit":
@@ -73,11 +93,13 @@ def column(e: Expr, at: dict[str, float]) -> Column:
     if e.op == "par":
         return F.lit(float(at[a[0]]))
     x = column(a[0], at)
-    if e.op in ("exp", "ln", "neg"):
-        return {"exp": F.exp, "ln": F.ln, "neg": lambda v: -v}[e.op](x)
+    if e.op in ("exp", "ln", "neg", "sin", "cos", "tan"):
+        return {"exp": F.exp, "ln": F.ln, "neg": lambda v: -v, "sin": F.sin, "cos": F.cos, "tan": F.tan}[e.op](x)
     if e.op == "^":
         return F.pow(x, F.lit(a[1]))
     y = column(a[1], at)
+    if e.op in ("max", "min", "first"):  # first: a where it is the larger (or, negated, the smaller) of a and b, else 0
+        return F.greatest(x, y) if e.op == "max" else F.least(x, y) if e.op == "min" else F.when(x > y, 1.0).when(x == y, 0.5).otherwise(0.0)
     return {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: x / y}[e.op]()
 
 
@@ -96,7 +118,14 @@ def derivative(e: Expr, name: str) -> Expr:
         return d / a[0]
     if e.op == "^":
         return a[1] * a[0] ** (a[1] - 1) * d
+    if e.op in ("sin", "cos", "tan"):
+        return {"sin": lambda: cos(a[0]) * d, "cos": lambda: -(sin(a[0]) * d), "tan": lambda: d / (cos(a[0]) * cos(a[0]))}[e.op]()
     g = derivative(a[1], name)
+    if e.op == "first":
+        return expr(0)
+    if e.op in ("max", "min"):  # at a tie half of each
+        above = Expr("first", (a[0], a[1]) if e.op == "max" else (a[1], a[0]))
+        return above * d + (expr(1) - above) * g
     if e.op in "+-":
         return Expr(e.op, (d, g))
     return d * a[1] + a[0] * g if e.op == "*" else (d * a[1] - a[0] * g) / (a[1] * a[1])

@@ -91,13 +91,17 @@ def beta(a: Column, b: Column) -> Column:
     return F.exp(gamma_ln(a) + gamma_ln(b) - gamma_ln(a + b))
 
 
-def gamma_p(a: Column, x: Column, terms: int = 400) -> Column:
-    """Regularised lower incomplete gamma function by its series x^a e^-x sum x^n / (a ... (a + n))."""
+def gamma_p(a: Column, x: Column, terms: int = 200) -> Column:
+    """Regularised lower incomplete gamma function: up to x = a + 1 its series x^a e^-x sum x^n / (a ... (a + n)), beyond
+    it one less the continued fraction of the upper one, read from its end."""
     a, x = a.cast("double"), x.cast("double")
+    scale = F.exp(-x + a * F.ln(F.greatest(x, F.lit(1e-300))) - gamma_ln(a))
+    tail = lambda acc, k: x + (2 * k + 1) - a - (k + 1) * (k + 1 - a) / acc
+    fraction = F.aggregate(F.sequence(F.lit(terms), F.lit(0)), x + (2.0 * terms + 3) - a, tail)
     start = F.struct((F.lit(1.0) / a).alias("d"), (F.lit(1.0) / a).alias("s"))
     step = lambda acc, k: F.struct((acc["d"] * x / (a + k)).alias("d"), (acc["s"] + acc["d"] * x / (a + k)).alias("s"))
     total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step)["s"]
-    return F.when(x <= 0, 0.0).otherwise(F.least(F.lit(1.0), total * F.exp(-x + a * F.ln(F.greatest(x, F.lit(1e-300))) - gamma_ln(a))))
+    return F.when(x <= 0, 0.0).when(x > a + 1, 1 - scale / fraction).otherwise(F.least(F.lit(1.0), total * scale))
 
 
 def gamma_q(a: Column, x: Column) -> Column:
@@ -171,6 +175,18 @@ def eigenvalues(m: pd.Series) -> pd.Series:
     return m.map(lambda x: np.linalg.eigvalsh(np.asarray(x, float).reshape(math.isqrt(len(x)), -1)))
 
 
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def eigenvectors(m: pd.Series) -> pd.Series:
+    """Unit eigenvectors in the order of `eigenvalues`, the first component that isn't 0 positive."""
+
+    def one(x):
+        v = np.linalg.eigh(np.asarray(x, float).reshape(math.isqrt(len(x)), -1))[1].T
+        lead = v[np.arange(len(v)), (np.abs(v) > 1e-12).argmax(axis=1)]
+        return (v * np.sign(lead)[:, None]).tolist()
+
+    return m.map(one)
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())])))
 def fft(v: pd.Series) -> pd.Series:
     """Discrete Fourier transform of real vectors, zero-padded to a power of two and cut back to their length."""
@@ -183,6 +199,15 @@ def fft(v: pd.Series) -> pd.Series:
     return v.map(one)
 
 
+def random_real(seed: int, high: float = 1.0) -> Column:
+    """Chance numbers of at least 0 and less than `high`."""
+    return F.rand(seed) * high
+
+
+def random_int(seed: int, high: int) -> Column:
+    return F.floor(F.rand(seed) * high).cast("long")
+
+
 def is_prime(n: Column) -> Column:
     """Trial division up to the root."""
     tests = F.sequence(F.lit(2).cast("long"), F.greatest(F.floor(F.sqrt(n.cast("double"))), F.lit(2)).cast("long"))

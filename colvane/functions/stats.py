@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colvane.operators.vector import dense_index
+from colvane.functions.mathx import spline
+from colvane.operators.vector import dense_index, running
 
 
 def in_order(df: DataFrame, value: str) -> DataFrame:
@@ -100,5 +101,61 @@ def frequency_moments(df: DataFrame, value: str, weight: str) -> DataFrame:
     return df.agg(mu.alias("mu"), (F.sum(v * v * w) / F.sum(w) - mu * mu).alias("var"), F.max_by(value, F.struct(weight, -v)).alias("mode"))
 
 
+def frequency_pmf(df: DataFrame, value: str, weight: str) -> DataFrame:
+    """Adds each value's share of all weights."""
+    total = df.agg(F.sum(weight).alias("_total"))
+    return df.crossJoin(F.broadcast(total)).withColumn("pmf", F.col(weight) / F.col("_total")).drop("_total")
+
+
+def frequency_cdf(df: DataFrame, value: str, weight: str) -> DataFrame:
+    """Adds the share of all weights at values up to each one's; sums run in two steps, so a long table is no single task."""
+    total = df.agg(F.sum(weight).alias("_total"))
+    run = running(df.withColumn("_one", F.lit(0)), "_one", value, weight, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + b, "_run")
+    return run.crossJoin(F.broadcast(total)).withColumn("cdf", F.col("_run") / F.col("_total")).drop("_one", "_run", "_total")
+
+
+def frequency_median(df: DataFrame, value: str, weight: str) -> DataFrame:
+    """One row: the first value up to which more than half of the weight lies; where exactly half lies up to a value, the
+    mean of that and the next."""
+    c = frequency_cdf(df, value, weight)
+    half = c.agg(F.max(F.when(F.col("cdf") == 0.5, F.col(value))).alias("even"), F.min(F.when(F.col("cdf") > 0.5, F.col(value))).alias("above"))
+    return half.select(F.when(F.col("even").isNull(), F.col("above").cast("double")).otherwise((F.col("even") + F.col("above")) / 2).alias("median"))
+
+
+def frequency_add(df: DataFrame, more: DataFrame, value: str, weight: str) -> DataFrame:
+    """Two frequency tables as one."""
+    return df.select(value, weight).unionByName(more.select(value, weight)).groupBy(value).agg(F.sum(weight).alias(weight))
+
+
+def sampled(spark: SparkSession, density, n: int, low: float, high: float, scale: float | None = None) -> DataFrame:
+    """(j, x, v): a density at n points from low to high; with `scale` the values are made to sum to it."""
+    x = F.lit(low) + F.col("id") * ((high - low) / (n - 1))
+    at = spark.range(n).select(F.col("id").alias("j"), x.alias("x")).withColumn("v", density(F.col("x")))
+    if scale is None:
+        return at
+    return at.crossJoin(F.broadcast(at.agg(F.sum("v").alias("_total")))).withColumn("v", F.col("v") * scale / F.col("_total")).drop("_total")
+
+
+def noisy(df: DataFrame, value: str, size: float, seed: int) -> DataFrame:
+    """Adds normal errors, cut at three standard deviations; `size` is the largest error."""
+    error = F.least(F.greatest(F.randn(seed), F.lit(-3.0)), F.lit(3.0)) * (size / 3)
+    return df.withColumn(value, F.col(value) + error)
+
+
+def histogram(df: DataFrame, value: str, k: int) -> DataFrame:
+    """(j, x, n): counts in k ranges of equal width, with each range's middle; empty ranges count 0."""
+    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    j = F.least(F.floor((F.col(value) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0)) * k), F.lit(k - 1))
+    counts = df.crossJoin(F.broadcast(ends)).groupBy(F.coalesce(j, F.lit(0)).alias("j")).agg(F.count("*").alias("n"))
+    middles = ends.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("j"), "lo", "hi")
+    return middles.join(counts, "j", "left").select("j", (F.col("lo") + (F.col("j") + 0.5) * (F.col("hi") - F.col("lo")) / k).alias("x"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def histogram_spline(df: DataFrame, value: str, k: int):
+    """A column function: the natural spline through the k middles and counts of a histogram."""
+    knots = [(r["x"], float(r["n"])) for r in histogram(df, value, k).collect()]  # k rows
+    return lambda x: spline(x, knots, clamp=True)
+
+
 def shuffled(df: DataFrame, seed: int) -> DataFrame:
     return df.orderBy(F.rand(seed))

@@ -163,6 +163,18 @@ def scan(a: Column, f, start: Column | None = None) -> Column:
     return F.aggregate(rest, seed, lambda acc, x: F.concat(acc, F.array(f(F.try_element_at(acc, F.lit(-1)), x))))
 
 
+def deep(a: Column, depth: int, f) -> Column:
+    """f of every atom of a list of that depth."""
+    return f(a) if depth == 0 else F.transform(a, lambda x: deep(x, depth - 1, f))
+
+
+def deep2(a: Column, b: Column, depth_a: int, depth_b: int, f) -> Column:
+    """f of the atoms of two lists, place by place; an atom goes with every atom of the other side."""
+    if depth_a and depth_b:
+        return F.zip_with(a, b, lambda x, y: deep2(x, y, depth_a - 1, depth_b - 1, f))
+    return deep(a, depth_a, lambda x: f(x, b)) if depth_a else deep(b, depth_b, lambda y: f(a, y))
+
+
 def over_join(a):
     return F.flatten(a)
 

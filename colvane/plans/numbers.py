@@ -158,3 +158,51 @@ query("grad_mse", f"select round(avg(pow(2 * x + 1 - y, 2)), 0) as loss, round(a
 query("jacobian", f"select x, y, round(exp(x / 50) * x / 50, 4) as d_f_w, 1.0 as d_f_b from {L}")(lambda s, d: G.jacobian(li(s, d), {"f": G.exp(W * G.col("x") / 50) + B}, {"w": 1.0, "b": 0.0}).select("x", "y", r4(F.col("d_f_w"), "d_f_w"), "d_f_b"))
 STEP = "(w * sxx + b * sx - sxy), b - (w * sx + b - sy)"
 query("gd_linreg", f"with recursive m as (select avg(x / 50) as sx, avg(x * x / 2500) as sxx, avg(y / 1e5) as sy, avg(x * y / 5e6) as sxy, avg(y * y / 1e10) as syy from {L}), g as (select 0 as step, 0.0::double as w, 0.0::double as b from m union all select step + 1, w - {STEP} from g, m where step < 9) select cast(step as integer) as step, round(w * w * sxx + 2 * w * b * sx + b * b - 2 * w * sxy - 2 * b * sy + syy, 6) as loss, round(w, 6) as w, round(b, 6) as b from g, m")(lambda s, d: G.descend(li(s, d).select((F.col("x") / 50).alias("x"), (F.col("y") / 100_000).alias("y")), LOSS, {"w": 0.0, "b": 0.0}, 0.5, 10).select("step", *(F.round(c, 6).alias(c) for c in ("loss", "w", "b"))))
+
+# frequency tables
+FREQ = "(select l_quantity as x, count(*) as n from lineitem group by 1)"
+
+
+def freq(s, d):
+    return t(s, d, "lineitem").groupBy(F.col("l_quantity").alias("x")).agg(F.count("*").alias("n"))
+
+
+query("freq_pmf", f"select x, round(n / (select sum(n) from {FREQ}), 6) as pmf from {FREQ}")(lambda s, d: stats.frequency_pmf(freq(s, d), "x", "n").select("x", F.round("pmf", 6).alias("pmf")))
+query("freq_cdf", f"select x, round(sum(n) over (order by x) / sum(n) over (), 6) as cdf from {FREQ}")(lambda s, d: stats.frequency_cdf(freq(s, d), "x", "n").select("x", F.round("cdf", 6).alias("cdf")))
+query("freq_median", "select quantile_cont(l_quantity, 0.5) as median from lineitem")(lambda s, d: stats.frequency_median(freq(s, d), "x", "n"))
+query("freq_add", "select x, count(*) as n from (select l_quantity as x from lineitem union all select l_linenumber from lineitem) group by 1")(lambda s, d: stats.frequency_add(freq(s, d), t(s, d, "lineitem").groupBy(F.col("l_linenumber").cast("double").alias("x")).agg(F.count("*").alias("n")), "x", "n"))
+query("sampled_density", "with p as (select j, -3 + j * 6.0 / 49 as x from range(50) r(j)), q as (select j, x, exp(-x * x / 2) / sqrt(2 * pi()) as v from p) select j, round(x, 6) as x, round(v * 100 / (select sum(v) from q), 6) as v from q")(lambda s, d: stats.sampled(s, P.normal_pdf, 50, -3.0, 3.0, 100.0).select("j", F.round("x", 6).alias("x"), F.round("v", 6).alias("v")))
+query("histogram", "with b as (select min(value) as lo, max(value) as hi from events) select j, round(lo + (j + 0.5) * (hi - lo) / 12 + 0.00000123, 4) as x, (select count(*) from events where least(floor((value - lo) / (hi - lo) * 12), 11) = j) as n from b, range(12) r(j)")(lambda s, d: stats.histogram(ev(s, d), "value", 12).select("j", r4(F.col("x") + 0.00000123, "x"), "n"))
+query("histogram_spline_knots", "with b as (select min(value) as lo, max(value) as hi from events) select j, cast((select count(*) from events where least(floor((value - lo) / (hi - lo) * 12), 11) = j) as double) as v from b, range(12) r(j)")(lambda s, d: (lambda f: stats.histogram(ev(s, d), "value", 12).select("j", F.round(f(F.col("x")), 4).alias("v")))(stats.histogram_spline(ev(s, d), "value", 12)))
+query("eigenvectors", "with l as (select p_partkey, cast(p_size as double) as k, (3 - sqrt(1 + 4.0 * p_size * p_size)) / 2 as a, (3 + sqrt(1 + 4.0 * p_size * p_size)) / 2 as b from part) select p_partkey, [[round(k / sqrt(k * k + (a - 2) * (a - 2)), 4), round((a - 2) / sqrt(k * k + (a - 2) * (a - 2)), 4)], [round(k / sqrt(k * k + (b - 2) * (b - 2)), 4), round((b - 2) / sqrt(k * k + (b - 2) * (b - 2)), 4)]] as v from l")(lambda s, d: t(s, d, "part").select("p_partkey", F.transform(M.eigenvectors(F.array(F.lit(2.0), F.col("p_size").cast("double"), F.col("p_size").cast("double"), F.lit(1.0))), lambda r: F.transform(r, lambda v: F.round(v, 4))).alias("v")))
+query("fit_errors", f"with f as (select regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x) as rss, count(*) as n from {L}) select round(rss / n, 0) as mse, round(sqrt(rss / (n - 2)), 3) as rse from f")(lambda s, d: stats.fit_statistics(li(s, d), "x", "y").select(F.round("mse", 0).alias("mse"), F.round("rse", 3).alias("rse")))
+query("test_scores", "select round((avg(value) - 240) / (stddev_samp(value) / sqrt(count(*))), 4) as t, round(var_samp(value) / var_pop(value + event_id % 7), 4) as f from events")(lambda s, d: ev(s, d).agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"), F.count("*").alias("n"), F.var_samp("value").alias("a"), F.var_pop(F.col("value") + F.col("event_id") % 7).alias("b")).select(r4(P.tscore(F.col("m"), 240, F.col("sd"), F.col("n")), "t"), r4(P.fscore(F.col("a"), F.col("b")), "f")))
+query("bayes", "select p_partkey, round(p * 0.9 / (p * 0.9 + (1 - p) * 0.2) + 0.00000123, 4) as v from (select p_partkey, p_size / 100.0 as p from part)")(lambda s, d: t(s, d, "part").select("p_partkey", r4(P.bayes(F.col("p_size") / 100.0, F.lit(0.9), F.lit(0.8)) + 0.00000123, "v")))
+query("permutations_count", f"select x, round(exp(lgamma(13) - lgamma(13 - least(x, 12)))) as kp from {R} where x between 1 and 12")(lambda s, d: nums(s, d).where("x between 1 and 12").select("x", F.round(M.permutations_count(C(), F.lit(12)).cast("double")).alias("kp")))
+query("complex_numbers", "select p_partkey, p_size + 1.0 as add_re, 2.0 - p_size as sub_im, round(exp(p_size / 50.0) * cos(2), 4) as exp_re, round(sqrt(p_size * p_size + 4.0), 4) as size from part")(lambda s, d: t(s, d, "part").select("p_partkey", M.cnum(F.col("p_size") * 1.0, F.lit(2.0)).alias("a"), M.cnum(F.lit(1.0), F.col("p_size") * 1.0).alias("b"), M.cnum(F.col("p_size") / 50.0, F.lit(2.0)).alias("c")).select("p_partkey", M.cadd(F.col("a"), F.col("b"))["re"].alias("add_re"), M.csub(F.col("a"), F.col("b"))["im"].alias("sub_im"), r4(M.cexp(F.col("c"))["re"], "exp_re"), r4(M.cabs(F.col("a")), "size")))
+query("incomplete_gamma", "select x, round(1 - exp(-x) * (1 + x + x * x / 2.0), 6) as p, round(exp(-x) * (1 + x + x * x / 2.0), 6) as q from (select cast(i as double) * 5 as x from range(1, 200) r(i))")(lambda s, d: s.range(1, 200).select((F.col("id") * 5.0).alias("x")).select("x", F.round(M.gamma_p(F.lit(3.0), F.col("x")), 6).alias("p"), F.round(M.gamma_q(F.lit(3.0), F.col("x")), 6).alias("q")))
+query("incomplete_beta", "select x, round(1 - pow(1 - x, 4.5) * (1 + 4.5 * x), 6) as v from (select i / 100.0 as x from range(1, 100) r(i))")(lambda s, d: s.range(1, 100).select((F.col("id") / 100.0).alias("x")).select("x", F.round(M.rbeta(F.col("x"), F.lit(2.0), F.lit(4.5)), 6).alias("v")))
+query("real_uniform", f"select x, case when x between 3 and 12 then round(1 / 9.0, 6) else 0.0 end as pdf, round(least(greatest((x - 3) / 9.0, 0), 1), 6) as cdf from {R}")(lambda s, d: nums(s, d).select("x", F.round(P.real_uniform_pdf(C(), 3.0, 12.0), 6).alias("pdf"), F.round(P.real_uniform_cdf(C(), 3.0, 12.0), 6).alias("cdf")))
+query("normal_quantiles", "select p, x from (values (0.025, -1.96), (0.5, 0.0), (0.975, 1.96), (0.995, 2.576)) q(p, x)")(lambda s, d: s.createDataFrame([(0.025,), (0.5,), (0.975,), (0.995,)], "p double").select("p", F.round(F.round(P.normal_qf(F.col("p")), 3) + 0.0, 3).alias("x")))
+
+MOMENTS = [
+    ("uniform", P.uniform_moments(3, 12), "7.5, (100 - 1) / 12.0"),
+    ("real uniform", P.real_uniform_moments(3.0, 12.0), "7.5, 81 / 12.0"),
+    ("geometric", P.geometric_moments(0.3), "1 / 0.3, 0.7 / 0.09"),
+    ("binomial", P.binomial_moments(15, 0.4), "6, 3.6"),
+    ("hypergeometric", P.hypergeometric_moments(50, 15, 10), "3, 10 * 0.3 * 0.7 * 40 / 49"),
+    ("poisson", P.poisson_moments(4.0), "4, 4"),
+    ("lognormal", P.lognormal_moments(1.0, 0.5), "exp(1.25), (exp(0.5) - 1) * exp(2.5)"),
+    ("chi square", P.chi_square_moments(5.0), "5, 10"),
+    ("student", P.student_moments(5.0), "0, 5 / 3.0"),
+    ("fisher", P.fisher_moments(4.0, 9.0), "9 / 7.0, 2 * 81 * 11.0 / (4 * 49 * 5)"),
+]
+
+
+@query("moments", " union all ".join(f"select '{n}' as name, round(mu, 6) as mu, round(v, 6) as var from (select {x}) q(mu, v)" for n, _, x in MOMENTS))
+def moments(s, d):
+    return s.createDataFrame([(n, round(float(m["mu"]), 6), round(float(m["var"]), 6)) for n, m, _ in MOMENTS], "name string, mu double, var double")
+
+
+X50 = G.col("x") / 50
+query("grad_functions", f"select x, y, round(cos(0.3 * x / 50) * x / 50 - sin(0.3 * x / 50) * x / 50 + (x / 50) / pow(cos(0.3 * x / 50), 2) + case when 0.3 * x / 50 > 0.2 then x / 50 else 0 end + 0.00000123, 4) as v from {L}")(lambda s, d: G.jacobian(li(s, d), {"f": G.sin(W * X50) + G.cos(W * X50) + G.tan(W * X50) + G.larger(W * X50, 0.2)}, {"w": 0.3}).select("x", "y", r4(F.col("d_f_w") + 0.00000123, "v")))

@@ -86,6 +86,7 @@ def range_scan_ts(spark, d):
     return S.time_range(e, "ts", low + timedelta(hours=1), low + timedelta(hours=20)).select("event_id")
 
 
+query("range_open", f"select i, event_id from {E} where i >= (select count(*) from events) - 50 and ts <= (select max(ts) from events)")(lambda s, d: S.time_range(S.position_range(events_vector(s, d), t(s, d, "events").count() - 50), "ts", None, t(s, d, "events").agg(F.max("ts")).first()[0]).select("i", "event_id"))
 query("range_scan_pos", f"select i, event_id from {E} where i >= 100 and i < 200")(lambda s, d: S.position_range(events_vector(s, d), 100, 200).select("i", "event_id"))
 @query("csv_roundtrip", "select p_partkey, p_name, p_size from part")
 def csv_roundtrip(spark, d):
@@ -107,6 +108,8 @@ def station_stats(spark, d):
 
 sql_query("sql_join_inner", "select c_custkey, o_orderkey, round(o_totalprice, 2) as price from customer join orders on c_custkey = o_custkey", "customer orders")
 sql_query("sql_join_left", "select c_custkey, o_orderkey from customer left join orders on c_custkey = o_custkey and o_totalprice > 300000", "customer orders")
+sql_query("sql_join_right", "select s_suppkey, n_nationkey from supplier right join nation on s_nationkey = n_nationkey and s_acctbal > 0", "supplier nation")
+sql_query("sql_join_lateral", "select n_nationkey, best from nation, lateral (select round(max(s_acctbal), 2) as best from supplier where s_nationkey = n_nationkey)", "supplier nation")
 sql_query("sql_join_full", "select n.n_nationkey as a, s.s_suppkey as b from (select * from nation where n_nationkey < 20) n full join (select * from supplier where s_nationkey > 10) s on n_nationkey = s_nationkey", "nation supplier")
 sql_query("group_agg", "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as qty, round(avg(l_extendedprice), 2) as price, count(*) as n from lineitem group by l_returnflag, l_linestatus", "lineitem")
 sql_query("sql_distinct", "select l_returnflag, count(distinct l_partkey) as parts, count(distinct l_suppkey) as supps from lineitem group by l_returnflag", "lineitem")

@@ -71,13 +71,15 @@ class KeyValueStore:
 
 
 def time_range(df: DataFrame, column: str, low, high) -> DataFrame:
-    """Rows between two times, both included; the filter reaches the scan."""
-    return df.where(F.col(column).between(low, high))
+    """Rows between two times, both included; None leaves an end open; the filter reaches the scan."""
+    df = df if low is None else df.where(F.col(column) >= low)
+    return df if high is None else df.where(F.col(column) <= high)
 
 
-def position_range(indexed: DataFrame, low: int, high: int, name: str = "i") -> DataFrame:
-    """Rows at positions low .. high - 1."""
-    return indexed.where((F.col(name) >= low) & (F.col(name) < high))
+def position_range(indexed: DataFrame, low: int | None = None, high: int | None = None, name: str = "i") -> DataFrame:
+    """Rows at positions low .. high - 1; None leaves an end open."""
+    indexed = indexed if low is None else indexed.where(F.col(name) >= low)
+    return indexed if high is None else indexed.where(F.col(name) < high)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
