@@ -13,7 +13,7 @@ from colvane.session import stored
 
 class TableStore:
     """A folder of Parquet tables by key. Setting merges: rows whose key is there already are kept as they are. Without
-    keys, rows are told by their place in the order of the column `position`."""
+    keys, rows are told by their place, as in `merge`."""
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str] | None = None, position: str | None = None):
         self.spark, self.path, self.keys, self.position = spark, path.rstrip("/"), keys, position
@@ -42,13 +42,14 @@ class TableStore:
 
 def merge(old: DataFrame, new: DataFrame, keys: list[str] | None, position: str | None = None) -> DataFrame:
     """Old rows, and new ones whose key is not there. Without keys, places are keys: those rows of new are added whose
-    place, in ascending order of the column `position`, is past the old length. That column need not be in old."""
+    place, in ascending order of the column `position`, is past the old length. That column need not be in old. Without
+    it the frame's own order counts, partition after partition, as a list or a sorted frame has it."""
     if keys:
         return old.unionByName(new.join(old.select(*keys), keys, "left_anti").select(old.columns))
-    if position is None:
-        raise ValueError("keys or a position column are needed")
     from colvane.operators.vector import dense_index
 
+    if position is None:
+        new, position = new.withColumn("_order", F.monotonically_increasing_id()), "_order"
     n = old.count()
     return old.unionByName(dense_index(new, position, name="_i").where(F.col("_i") >= n).select(old.columns))
 

@@ -26,8 +26,7 @@ def test_merge_by_place(spark, tmp_path):
     old = spark.createDataFrame([(0, 1), (1, 2)], "i long, v long")
     new = spark.createDataFrame([(2, 1), (0, 9), (1, 8)], "i long, v long")
     assert rows(merge(old, new, None, "i")) == [(0, 1), (1, 2), (2, 1)]
-    with pytest.raises(ValueError):
-        merge(old, new, None)
+    assert rows(merge(old.select("v"), spark.createDataFrame([(9,), (8,), (1,)], "v long"), None)) == [(1,), (1,), (2,)]
     store = TableStore(spark, str(tmp_path), position="i")
     store.set("a", old)
     assert rows(store.set("a", new)) == [(0, 1), (1, 2), (2, 1)]
