@@ -236,7 +236,7 @@ def model_p(model, b, w):
 def test_filter_never_counts_too_little():
     keys = np.random.default_rng(3).integers(1, 1 << 63, 20_000).astype(np.uint64)
     n = np.where(np.arange(20_000) % 3 == 0, 2, 70)
-    f = bloom_lm.LogFrequencyFilter([bloom_lm.segment(keys, n).tobytes()])
+    f = bloom_lm.LogFrequencyFilter.of(bloom_lm.segment(keys, n).tobytes())
     own, most = np.zeros(20_000, np.int64), np.full(20_000, 1000)
     got = f.levels(keys, own, most)
     assert (got >= bloom_lm.level(n)).all() and (got == bloom_lm.level(n)).mean() > 0.97
