@@ -285,6 +285,22 @@ def spans_of(text: str) -> np.ndarray:
     return np.array([m.span() for m in WORD.finditer(text)], np.int64).reshape(-1, 2)
 
 
+def short_spans(spans: np.ndarray) -> bytes:
+    """Spans of words as lengths and gaps, a byte each where they fit (first byte 1), else four."""
+    each = np.concatenate([spans[:1, 0], spans[1:, 0] - spans[:-1, 1], spans[:, 1] - spans[:, 0]])
+    first, rest = each[:1], each[1:]
+    size = 1 if not len(rest) or rest.max() < 256 else 4
+    return bytes([size]) + first.astype("<u4").tobytes() + rest.astype(f"<u{size}").tobytes()
+
+
+def long_spans(raw: bytes) -> np.ndarray:
+    rest = np.frombuffer(raw, f"<u{raw[0]}", offset=5).astype(np.int64)
+    each = np.concatenate([np.frombuffer(raw, "<u4", 1, 1).astype(np.int64), rest])
+    gaps, lengths = np.split(each, 2)
+    ends = np.cumsum(gaps + lengths)
+    return np.stack([ends - lengths, ends], axis=1)
+
+
 def fewest(found: list[tuple]) -> list[tuple]:
     """The fewest of these (start, end, ...) that cover all that they cover together. Text that repeats itself matches a
     source at every shift; a few of those matches cover it."""
@@ -431,7 +447,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
                 w, spans = h[ends[i] : ends[i + 1]], spans_of(own[i])
                 for source, some, low, high in clusters(found, len(w)):
                     if high > low:
-                        rows.append((doc_id, source, some, low, w[low:high].astype("<u4").tobytes(), spans[low:high].astype("<u4").tobytes()))
+                        rows.append((doc_id, source, some, low, w[low:high].astype("<u4").tobytes(), short_spans(spans[low:high])))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "source", "chains", "low", "words", "spans"])
@@ -444,7 +460,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
                 if held[0] != source:
                     text = text or ""
                     held = source, word_hashes([text])[0].astype("<u4"), spans_of(text)
-                x, xs, y, ys = np.frombuffer(words, "<u4"), np.frombuffer(spans, "<u4").reshape(-1, 2), held[1], held[2]
+                x, xs, y, ys = np.frombuffer(words, "<u4"), long_spans(spans), held[1], held[2]
                 good = []
                 for chain in some:
                     pieces = [(q - low, c, m) for q, c, m in zip(chain[::3], chain[1::3], chain[2::3], strict=True) if 0 <= q - low < len(x) and c < len(y)]

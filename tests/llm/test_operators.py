@@ -584,3 +584,10 @@ def test_a_passage_whose_halves_stand_elsewhere(spark):
         rows += [(4 * i, a), (4 * i + 1, b), (4 * i + 2, [f"x{i}"] * 3 + a + b), (4 * i + 3, [f"y{i}"] * 3 + a + b)]
     found = {(r["doc_id"], r["match_doc_id"]) for r in passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
     assert sum((4 * i + 3, 4 * i + 2) in found for i in range(50)) >= 45, len(found)
+
+
+def test_short_spans():
+    for text in ("one", "a  bb\n c", " lead " + "x" * 300 + " tail", "p" + " " * 400 + "q", "ü 中文 z"):
+        spans = passages.spans_of(text)
+        assert (passages.long_spans(passages.short_spans(spans)) == spans).all()
+        assert (passages.long_spans(passages.short_spans(spans[1:])) == spans[1:]).all() if len(spans) > 1 else True
