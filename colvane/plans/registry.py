@@ -52,6 +52,11 @@ def r4(c, name: str):
     return F.round(c, 4).alias(name)
 
 
+def rounded(c):
+    """To four places, with the sign of values that become zero (-0.00001 is -0.0) as in SQL: in lists it tells rows apart."""
+    return F.abs(F.round(c, 4)) * F.signum(c)
+
+
 def iv(v: Vector) -> DataFrame:
     """Positions and rounded values."""
     return v.df.select("i", r4(F.col("v"), "v"))

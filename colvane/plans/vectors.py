@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from colvane.language import Language
 from colvane.operators import nested as A
 from colvane.operators.vector import Vector, dense_index, running
-from colvane.plans.registry import E, N, ev, events_vector, iv, query, r4, t
+from colvane.plans.registry import E, N, ev, events_vector, iv, query, r4, rounded, t
 
 V = "round(v, 4) as v"
 query("enumerate", "select cast(i as bigint) as i, cast(i as bigint) as v from range(10000) r(i)")(lambda s, d: Vector.enumerate(s, 10_000).df)
@@ -59,7 +59,7 @@ for name, op, sql in (
     query(name, f"select {sql} as v from {E}")(lambda s, d, op=op: ev(s, d).over(op).select(F.round("v", 2).alias("v")))
 query("over_product", f"select g, round(product(1 + v / 1000), 4) as v from (select i // 10 as g, v from {E}) group by g")(lambda s, d: ev(s, d).df.groupBy(F.floor(F.col("i") / 10).alias("g")).agg(r4(F.product(1 + F.col("v") / 1000), "v")))
 query("over_divide", f"select round(pow((select 1 + v / 1e8 from {E} where i = 0), 2) / product(1 + v / 1e8), 6) as v from {E}")(lambda s, d: ev(s, d).map(lambda v: 1 + v / 1e8).over("%").select(F.round("v", 6).alias("v")))
-query("over_join", "select vec_id, [round(cast(x as double), 4) for x in embedding] as v from embeddings")(lambda s, d: t(s, d, "embeddings").select("vec_id", F.transform(A.over_join(A.split(F.col("embedding"), 7)), lambda x: F.round(x.cast("double"), 4)).alias("v")))
+query("over_join", "select vec_id, [round(cast(x as double), 4) for x in embedding] as v from embeddings")(lambda s, d: t(s, d, "embeddings").select("vec_id", F.transform(A.over_join(A.split(F.col("embedding"), 7)), lambda x: rounded(x.cast("double"))).alias("v")))
 query("over_neutral", f"select round(1000 + coalesce(sum(v), 0), 2) as v from {E}")(lambda s, d: ev(s, d).over("+", 1000).select(F.round("v", 2).alias("v")))
 query("over_each", "select vec_id, [round(list_sum([cast(x as double) for x in embedding[1:32]]), 4), round(list_sum([cast(x as double) for x in embedding[33:64]]), 4)] as v from embeddings")(lambda s, d: t(s, d, "embeddings").select("vec_id", F.transform(A.split(F.col("embedding"), 32), lambda r: F.round(F.aggregate(r, F.lit(0.0), lambda a, x: a + x), 4)).alias("v")))
 FRAME = "over (order by i rows unbounded preceding)"
