@@ -114,7 +114,7 @@ def _expression(name: str, sql: str, text: str) -> None:
     """An expression of the array language over the embeddings, row by row inside Catalyst."""
 
     def run(s, d):
-        lang = Language(t(s, d, "embeddings")).define("r", lambda c: F.round(c + 0.00000123, 4), 1)
+        lang = Language(t(s, d, "embeddings")).define("r", lambda c: rounded(c + 0.00000123), 1)
         return lang.select("vec_id", "v", text, "embedding is e", "vec_id is i")
 
     query(name, f"with e as (select vec_id, [cast(x as double) for x in embedding] as e, list_sum([cast(x as double) for x in embedding]) as total from embeddings) select vec_id, {sql} as v from e")(run)
