@@ -61,7 +61,7 @@ query("over_product", f"select g, round(product(1 + v / 1000), 4) as v from (sel
 query("over_divide", f"select round(pow((select 1 + v / 1e8 from {E} where i = 0), 2) / product(1 + v / 1e8), 6) as v from {E}")(lambda s, d: ev(s, d).map(lambda v: 1 + v / 1e8).over("%").select(F.round("v", 6).alias("v")))
 query("over_join", "select vec_id, [round(cast(x as double), 4) for x in embedding] as v from embeddings")(lambda s, d: t(s, d, "embeddings").select("vec_id", F.transform(A.over_join(A.split(F.col("embedding"), 7)), lambda x: rounded(x.cast("double"))).alias("v")))
 query("over_neutral", f"select round(1000 + coalesce(sum(v), 0), 2) as v from {E}")(lambda s, d: ev(s, d).over("+", 1000).select(F.round("v", 2).alias("v")))
-query("over_each", "select vec_id, [round(list_sum([cast(x as double) for x in embedding[1:32]]), 4), round(list_sum([cast(x as double) for x in embedding[33:64]]), 4)] as v from embeddings")(lambda s, d: t(s, d, "embeddings").select("vec_id", F.transform(A.split(F.col("embedding"), 32), lambda r: F.round(F.aggregate(r, F.lit(0.0), lambda a, x: a + x), 4)).alias("v")))
+query("over_each", "select vec_id, [round(list_sum([cast(x as double) for x in embedding[1:32]]), 4), round(list_sum([cast(x as double) for x in embedding[33:64]]), 4)] as v from embeddings")(lambda s, d: t(s, d, "embeddings").select("vec_id", F.transform(F.transform(A.split(F.col("embedding"), 32), lambda r: F.aggregate(r, F.lit(0.0), lambda a, x: a + x)), rounded).alias("v")))
 FRAME = "over (order by i rows unbounded preceding)"
 query("scan_sum", f"select i, round(sum(v) {FRAME}, 2) as v from {E}")(lambda s, d: ev(s, d).scan("+").df.select("i", F.round("v", 2).alias("v")))
 query("scan_max", f"select i, max(v) {FRAME} as v from {E}")(lambda s, d: ev(s, d).scan("|").df)
