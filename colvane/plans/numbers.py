@@ -8,7 +8,7 @@ from colvane.functions import dist as P
 from colvane.functions import grad as G
 from colvane.functions import mathx as M
 from colvane.functions import codes, sets, stats
-from colvane.plans.registry import query, r4, t
+from colvane.plans.registry import query, r4, rounded, t
 
 
 def ev(s, d):
@@ -95,7 +95,7 @@ def _matmul(s, d):
     return a.join(b, ["g", "m"]).groupBy("g", "i", "j").agg(r4(F.sum(F.col("x") * F.col("y")), "v"))
 
 
-query("fft", "select vec_id, [round(list_sum([cast(embedding[j + 1] as double) * cos(2 * pi() * j * k / 64) for j in range(64)]) + 0.00000123, 4) for k in range(64)] as re from embeddings")(lambda s, d: t(s, d, "embeddings").select("vec_id", F.transform(M.fft(F.transform("embedding", lambda v: v.cast("double"))), lambda z: F.round(z["re"] + 0.00000123, 4)).alias("re")))
+query("fft", "select vec_id, [round(list_sum([cast(embedding[j + 1] as double) * cos(2 * pi() * j * k / 64) for j in range(64)]) + 0.00000123, 4) for k in range(64)] as re from embeddings")(lambda s, d: t(s, d, "embeddings").select("vec_id", F.transform(M.fft(F.transform("embedding", lambda v: v.cast("double"))), lambda z: rounded(z["re"] + 0.00000123)).alias("re")))
 query("gauss", "select p_partkey, [round((3.0 * p_size - p_retailprice) / 5, 4), round((2 * p_retailprice - p_size) / 5, 4)] as v from part")(lambda s, d: t(s, d, "part").select("p_partkey", F.transform(M.solve(F.array(F.lit(2.0), F.lit(1.0), F.col("p_size").cast("double"), F.lit(1.0), F.lit(3.0), F.col("p_retailprice"))), lambda v: F.round(v, 4)).alias("v")))
 query("eigenvalues", "select p_partkey, [round((3 - sqrt(1 + 4.0 * p_size * p_size)) / 2, 4), round((3 + sqrt(1 + 4.0 * p_size * p_size)) / 2, 4)] as v from part")(lambda s, d: t(s, d, "part").select("p_partkey", F.transform(M.eigenvalues(F.array(F.lit(2.0), F.col("p_size").cast("double"), F.col("p_size").cast("double"), F.lit(1.0))), lambda v: F.round(v, 4)).alias("v")))
 

@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from tests.compare import connection
 
 
-@pytest.mark.parametrize("name", ["over_each", "over_join", "language_demean"])
+@pytest.mark.parametrize("name", ["fft", "over_each", "over_join", "language_demean"])
 def test_signs_of_zeros_in_lists(spark, tmp_path, name):
     rows = [(1, [-0.00002] + [0.0] * 63), (2, [0.00002] + [0.0] * 63), (3, [0.5] * 32 + [-0.25] * 32)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).toPandas().to_parquet(tmp_path / "embeddings.parquet")
