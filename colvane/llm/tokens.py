@@ -26,6 +26,8 @@ WS = "\t-\r \x85\xa0  -     　"
 CACHE = 250_000
 #: Chunks of these characters are cut here; any other goes to the library whole.
 PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-įı-ɏ]*")
+#: Marks that are a pre-token of their own behind a word.
+MARKS = ".,;:!?"
 #: The pre-token patterns of the two public files.
 BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -48,6 +50,17 @@ def as_byte_characters(s: str) -> str:
     return s if s.isascii() and s.isalnum() else "".join([BYTE_CHARS[b] for b in s.encode()])
 
 
+def simple(chunk: str) -> list[str] | None:
+    """Pre-tokens of an ASCII word, with or without a space before it and a mark behind; None for any other chunk."""
+    if chunk.isascii():
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        if word.isalpha():
+            return [chunk]
+        if word[-1:] in MARKS and word[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+    return None
+
+
 class TokenizerFile:
     """What the two kinds of tokenizer file need; `keeps_space` tells them apart."""
 
@@ -69,24 +82,26 @@ class LibraryChunks:
         self.file, self.model, self.cache, self.pre = file, file.library.model, {}, {}
 
     def __call__(self, chunks: list[str]) -> list[bytes]:
-        cache, out = self.cache, []
+        cache = self.cache
         if len(cache) > 2 * CACHE:
             cache.clear()
             self.pre.clear()
-        for c in chunks:
-            got = cache.get(c)
-            if got is None:
-                got = cache[c] = self.encode(c)
-            out.append(got)
+        out = list(map(cache.get, chunks))
+        for i in [i for i, x in enumerate(out) if x is None]:
+            out[i] = cache[chunks[i]] = self.encode(chunks[i])
         return out
 
     def encode(self, chunk: str) -> bytes:
         file = self.file
         if chunk in file.specials:
             return np.array([file.specials[chunk]], "<u4").tobytes()
-        if not PLAIN.fullmatch(chunk):
-            return np.array(file.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        words = BYTE_PATTERN.findall(chunk) if file.keeps_space else WORD_PATTERN.findall(chunk.lower())
+        words = simple(chunk)
+        if words is not None:
+            words = words if file.keeps_space else [w.lower() for w in words]
+        else:
+            if not PLAIN.fullmatch(chunk):
+                return np.array(file.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+            words = BYTE_PATTERN.findall(chunk) if file.keeps_space else WORD_PATTERN.findall(chunk.lower())
         out = []
         for w in words:
             got = self.pre.get(w)

@@ -15,7 +15,7 @@ import pyarrow.fs
 import pytest
 from tokenizers import Tokenizer
 
-from colvane.llm import bloom_lm, bpe, dac, imatch, jaccard, packing, passages, quality, search, toxicity
+from colvane.llm import bloom_lm, bpe, dac, imatch, jaccard, packing, passages, quality, search, tokens, toxicity
 from colvane.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -616,3 +616,12 @@ def test_mapped_files(tmp_path, monkeypatch):
             monkeypatch.setattr(bloom_lm, "opened", own)
         assert bloom_lm.mapped(bloom_lm.Filed(f"{root}/a/key", "<u8")).tolist() == [0, 1, 2, 3, 4]
         assert len(bloom_lm.mapped(bloom_lm.Filed(f"{root}/a/none", "<u8"))) == 0
+
+
+def test_simple_chunks_are_cut_as_the_patterns_do():
+    chunks = [f"{a}{b}{c}" for a in ("", " ", "  ", "\n") for b in ("", "a", "Word", "it's", "ab1", "é", "K", "1", "<|endoftext|>") for c in ("", *tokens.MARKS, "..", "'", "\n", " ")]
+    for c in chunks:
+        assert tokens.simple(c) in (None, tokens.BYTE_PATTERN.findall(c)), c
+        if "K" not in c and tokens.simple(c):
+            assert [w.lower() for w in tokens.simple(c.strip())] == tokens.WORD_PATTERN.findall(c.strip().lower())
+    assert tokens.simple(" Word,") == [" Word", ","] and tokens.simple("Word") == ["Word"] and tokens.simple(" ") is None
