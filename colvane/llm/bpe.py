@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from colvane.llm.common import rebatched, small_batches, texts
-from colvane.llm.tokens import BYTE_CHARS, BYTE_PATTERN, CACHE, TextEncoder, TokenizerFile
+from colvane.llm.tokens import BYTE_CHARS, BYTE_PATTERN, CACHE, TextEncoder, TokenizerFile, simple
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -43,7 +43,7 @@ class PairIndexBpe:
         words = self.words
         if len(words) > CACHE:
             words.clear()
-        cut = [[c] if c in self.specials else BYTE_PATTERN.findall(c) for c in chunks]
+        cut = [[c] if c in self.specials else simple(c) or BYTE_PATTERN.findall(c) for c in chunks]
         new = sorted({w for ws in cut for w in ws if w not in words})
         for w in new:
             if w in self.specials:
