@@ -12,7 +12,6 @@ one seed is tried too. An end goes at most 2 * min_words words beyond the outerm
 from __future__ import annotations
 
 import bisect
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,6 @@ END_COST = 2
 STRETCH = 40
 #: Cells of a common subsequence up to which all its rows are held.
 MOST_CELLS = 1 << 24
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, start long, end long, n_words long, match_doc_id long, match_start long, match_end long, identity double"
 #: Chains of a document; those for later lie inside others and are tried where those fail.
 FOUND = "doc_id long, found array<struct<source:long,chain:array<long>,later:boolean>>"
@@ -282,7 +280,11 @@ def matches(chain: list[tuple[int, int, int]], x: np.ndarray, y: np.ndarray, min
 
 
 def spans_of(text: str) -> np.ndarray:
-    return np.array([m.span() for m in WORD.finditer(text)], np.int64).reshape(-1, 2)
+    """(start, end) in code points of each word."""
+    c = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = np.zeros(len(c) + 2, bool)
+    inside[1:-1] = (c != 32) & ((c < 9) | (c > 13))
+    return np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2)
 
 
 def short_spans(spans: np.ndarray) -> bytes:
@@ -458,15 +460,19 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
             rows = []
             for doc_id, source, some, low, words, spans, text in zip(*(c.to_pylist() for c in t.columns), strict=True):
                 if held[0] != source:
-                    text = text or ""
-                    held = source, word_hashes([text])[0].astype("<u4"), spans_of(text)
-                x, xs, y, ys = np.frombuffer(words, "<u4"), long_spans(spans), held[1], held[2]
+                    held = source, word_hashes([text or ""])[0].astype("<u4"), None
+                x, y = np.frombuffer(words, "<u4"), held[1]
                 good = []
                 for chain in some:
                     pieces = [(q - low, c, m) for q, c, m in zip(chain[::3], chain[1::3], chain[2::3], strict=True) if 0 <= q - low < len(x) and c < len(y)]
                     if not pieces:
                         continue
                     good += matches(pieces, x, y, min_words, identity)
+                if not good:
+                    continue
+                if held[2] is None:
+                    held = *held[:2], spans_of(text or "")
+                xs, ys = long_spans(spans), held[2]
                 for a, b, c, d, share in fewest(good):
                     rows.append((doc_id, int(xs[a][0]), int(xs[b - 1][1]), b - a, source, int(ys[c][0]), int(ys[d - 1][1]), share, low + a))
             cols = list(zip(*rows, strict=True)) or [()] * 9
