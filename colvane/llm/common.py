@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -77,8 +78,34 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: What a worker process holds from batch to batch, by the kind of work that fills it.
+CACHES: dict[str, dict] = {}
+
+
+def released() -> None:
+    """Gives freed memory back to the system: a worker waits beside the JVM and the other workers of its executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def only(*kinds: str) -> None:
+    """Empties the worker's caches of other kinds: it outlives the operators that filled them."""
+    gone = [c for kind, c in CACHES.items() if c and kind not in kinds]
+    for c in gone:
+        c.clear()
+    if gone:
+        released()
+
+
+def trimmed(batches: Iterator) -> Iterator:
+    """The same batches; what they left is released after the last."""
+    yield from batches
+    released()
+
+
 def rebatched(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = BATCH_CHARS) -> Iterator[pa.Table]:
-    """Joins small batches until about `size` bytes of `column` are there."""
+    """Joins small batches until about `size` bytes of `column` are there. After the last, freed memory is released."""
     held, have = [], 0
     for b in batches:
         if b.num_rows == 0:
@@ -90,6 +117,8 @@ def rebatched(batches: Iterator[pa.RecordBatch], column: str = "text", size: int
             held, have = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held = []
+    released()
 
 
 def texts(t: pa.Table, column: str = "text") -> list[str]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colvane.llm.common import forget, mixed, rebatched, small_batches, stored, texts
+from colvane.llm.common import forget, mixed, rebatched, small_batches, stored, texts, trimmed
 from colvane.llm.graph import components
 from colvane.llm.words import shingle_sets
 
@@ -52,7 +52,7 @@ def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(ROWS * CELLS, np.uint32)
-        for t in rebatched(batches):
+        for t in rebatched(batches, size=2_000_000):
             for c in cells(shingle_sets(texts(t), k)[0]):
                 np.add.at(seen, c, np.uint32(1))
         for i, part in enumerate(np.split(seen, PARTS)):
@@ -150,7 +150,7 @@ def sieve(pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b) of pairs (a, b, n, m, x, y) whose long bitmaps x and y allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
+        for t in trimmed(batches):
             n, m, x, y = (t.column(c).to_pylist() for c in ("n", "m", "x", "y"))
             keep = [differing(v, w) <= i + j - 2 * -(-percent * (i + j) // (100 + percent)) for i, j, v, w in zip(n, m, x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colvane.llm.common import forget, mixed, partitions, rebatched, small_batches, stored, texts
+from colvane.llm.common import forget, mixed, partitions, rebatched, small_batches, stored, texts, trimmed
 from colvane.llm.words import gram_hashes, word_hashes
 
 SEED_WORDS, WINDOW = 6, 8
@@ -331,7 +331,7 @@ def within(low: int, high: int, cover: list[tuple[int, int]]) -> bool:
 
 def seeds(docs: DataFrame, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in rebatched(batches):
+        for t in rebatched(batches, size=2_000_000):
             h, doc = word_hashes(texts(t))
             at, g = winnowed(h, doc, long=min_words)
             n = np.bincount(doc, minlength=t.num_rows)
@@ -388,7 +388,7 @@ def chained(seed: DataFrame) -> DataFrame:
             found = [uncovered(x) for x in found]
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, kind)], names=["doc_id", "found"])
 
-        for b in batches:
+        for b in trimmed(batches):
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
@@ -456,7 +456,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = (None, None, None)
-        for t in batches:
+        for t in trimmed(batches):
             rows = []
             for doc_id, source, some, low, words, spans, text in zip(*(c.to_pylist() for c in t.columns), strict=True):
                 if held[0] != source:
@@ -488,7 +488,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, identity: float = 0.
 
     def failed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chains that were left for later and lie in nothing that is verified."""
-        for t in batches:
+        for t in trimmed(batches):
             ids, rows = [], []
             for doc_id, found, spans in zip(*(c.to_pylist() for c in t.columns), strict=True):
                 cover = sorted((x["word"], x["word"] + x["n_words"]) for x in spans or [])

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colvane.llm.common import held_out, mixed, ragged, rebatched, small_batches, texts
+from colvane.llm.common import held_out, mixed, only, ragged, rebatched, small_batches, texts, trimmed
 from colvane.llm.labels import training_rows
 
 BUCKETS = 1 << 18
@@ -175,8 +175,10 @@ def scorer(spark: SparkSession, model: tuple[np.ndarray, float]) -> Callable[[Co
     sent = spark.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
 
     @F.arrow_udf("double")
-    def score(x: pa.Array) -> pa.Array:
-        return pa.array(document_scores(*sent.value, ["" if t is None else t for t in x.to_pylist()]), pa.float64())
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only()
+        for x in trimmed(parts):
+            yield pa.array(document_scores(*sent.value, ["" if t is None else t for t in x.to_pylist()]), pa.float64())
 
     return score
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-from colvane.llm.common import ragged
+from colvane.llm.common import CACHES, only, ragged
 
 #: White space as the files' patterns mean it.
 WS = "\t-\r \x85\xa0  -     　"
@@ -174,10 +174,12 @@ class TextEncoder:
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
+CACHES["encoders"] = _ENCODERS
 
 
 def library_encoder(path: str) -> TextEncoder:
     """One encoder, with its cache, per worker process."""
+    only("encoders")
     if path not in _ENCODERS:
         file = TokenizerFile(path)
         _ENCODERS[path] = TextEncoder(file, LibraryChunks(file))

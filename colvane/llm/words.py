@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-from colvane.llm.common import mixed
+from colvane.llm.common import CACHES, mixed, only
 from colvane.llm.tokens import CACHE
 
 
@@ -22,10 +22,12 @@ class Hashes(dict):
 
 
 HASHES = Hashes()
+CACHES["words"] = HASHES
 
 
 def word_hashes(docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, document of each word)."""
+    only("words")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(docs, pa.large_string())))
     coded = pc.dictionary_encode(lists.values)
     codes, words = np.asarray(coded.indices, dtype=np.int64), coded.dictionary.to_pylist()

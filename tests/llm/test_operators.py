@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -638,3 +641,29 @@ def test_spans_of_words_equal_the_pattern_at_a_fraction_of_its_cost():
         spans(text)
         cost.append(time.process_time() - began)
     assert 2 * cost[0] < cost[1]
+
+
+def test_a_worker_gives_back_memory_and_caches_of_other_operators():
+    """In a process of its own, as a worker that outlives its tasks."""
+    code = """
+import numpy as np, pyarrow as pa, public_tokenizers
+from colvane.llm import common, tokens, words
+held = lambda: sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Private_Dirty")) / 1024
+rng = np.random.default_rng(1)
+batches = [pa.record_batch({"text": [" ".join(f"w{x}" for x in rng.integers(0, 2000, 1000)) for _ in range(100)]}) for _ in range(24)]
+words.word_hashes(common.texts(batches[0]))
+before = held()
+for t in common.rebatched(iter(batches)):
+    words.shingle_sets(common.texts(t), 5)
+t = None
+print(held() - before)
+assert words.HASHES
+encoder = tokens.library_encoder(public_tokenizers.path("word_bpe_49k.json"))
+assert not words.HASHES and tokens._ENCODERS
+words.word_hashes(["a text"])
+assert words.HASHES and not tokens._ENCODERS
+"""
+    root = str(Path(__file__).parents[2])
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, env=os.environ | {"PYTHONPATH": root})
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert float(out.stdout) < 100, out.stdout
